@@ -39,6 +39,13 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def half_even(col: str | Column, digits: int) -> Column:
+    """Half-even rounding of the scaled binary value, as numeric Python does it (`bround` rounds the decimal
+    text); the added zero turns -0.0 into 0.0."""
+    scale = float(10 ** digits)
+    return F.rint((F.col(col) if isinstance(col, str) else col) * scale) / scale + 0.0
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every floating column: Spark aggregates skip only NULL."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}

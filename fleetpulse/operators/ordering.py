@@ -215,18 +215,20 @@ def fill_missing(
 
 def quantiles(
     df: DataFrame, key: str, value: str, probs: Sequence[float], name: str = "q", layout: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key: (key, name array<double>).
+    """Exact linearly interpolated quantiles per key: (key, name array<double>). `weight` counts repeated values.
 
     Large inputs never build one key's value map in one task: values are counted
     (combined map-side), ranked by running totals, and the two neighbours of each
     target rank are picked by a plain aggregate.
     """
-    df = df.where(F.col(value).isNotNull())
+    df = df.where(F.col(value).isNotNull() if weight is None else F.col(value).isNotNull() & (F.col(weight) > 0))
+    times = F.lit(1) if weight is None else F.col(weight)
     how = _pick(df, layout)
     if how == "plain":
-        return df.groupBy(key).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias(name))
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+        return df.groupBy(key).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), times).alias(name))
+    counts = df.groupBy(key, value).agg(F.sum(times).alias("__n"))
     ranked = running_totals(counts, key, [value], {"__upto": "__n"}, "chunked")
     totals = counts.groupBy(F.col(key).alias("__k")).agg((F.sum("__n") - 1).alias("__last"))
     ranked = ranked.join(totals, ranked[key].eqNullSafe(totals["__k"]))
