@@ -97,7 +97,7 @@ def join_drift_sides(spark, sf_dir):
 
 def report(spark, sf_dir):
     wide = rounded(fused(spark, sf_dir))
-    return dr.report_of(dr.sided_by(wide, F.expr(f"ts < {DRIFT_SPLIT}"), FUSED_FEATURES))
+    return dr.report_of(dr.sided_by(wide, F.expr(f"ts < {DRIFT_SPLIT}"), FUSED_FEATURES), len(FUSED_FEATURES))
 
 
 @query("drift_report", with_(*REPORT, select=f"SELECT {_REPORT_COLS} FROM report"))

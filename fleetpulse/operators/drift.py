@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.ordering import quantiles, running_totals
+from fleetpulse.operators.ordering import quantiles, running_totals, settled
 from fleetpulse.schema import ReadingSchema, numeric_features
 
 BUCKETS = 10
@@ -63,17 +64,34 @@ def _edges(counts: DataFrame, layout: str, accuracy: int | None) -> DataFrame:
     return q.select(F.col("feature").alias("__f"), F.array_distinct("q").alias("edges"))
 
 
-def side_histograms(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
-    """(feature, bin, n_edges, ref_n, cur_n): both sides counted in the reference's decile bins, outer bins open."""
-    edges = F.broadcast(_edges(counts, layout, accuracy))
-    joined = counts.join(edges, counts["feature"] == edges["__f"], "left")
+def _place(counts: DataFrame, edges: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    joined = counts.join(F.broadcast(edges), counts["feature"] == edges["__f"], "left")  # one row per column
     place = F.lit(0)
     for i in range(1, BUCKETS):
         inner = F.lit(i) < F.size("edges") - 1
         place = place + F.when(inner & (F.col("value") >= F.get("edges", F.lit(i))), 1).otherwise(0)
     return joined.groupBy("feature", place.alias("bin")).agg(
-        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"),
-        F.first(F.size("edges")).alias("n_edges"))
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"), F.first(F.size("edges")).alias("n_edges"),
+        *[F.first(c).alias(c) for c in carry])
+
+
+def side_histograms(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
+    """(feature, bin, n_edges, ref_n, cur_n): both sides counted in the reference's decile bins, outer bins open."""
+    return _place(counts, _edges(counts, layout, accuracy))
+
+
+def _psi_of(histograms: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    folded = histograms.groupBy("feature").agg(
+        F.sum("ref_n").alias("nr"), F.sum("cur_n").alias("nc"), F.first("n_edges").alias("n_edges"),
+        F.collect_list(F.struct(F.col("ref_n").alias("r"), F.col("cur_n").alias("c"))).alias("bins"),  # BUCKETS at most
+        *[F.first(c).alias(c) for c in carry])
+    share = lambda n, total: F.greatest(n / total, F.lit(FLOOR))
+    term = lambda b: ((share(b["c"], F.col("nc")) - share(b["r"], F.col("nr")))
+                      * F.log(share(b["c"], F.col("nc")) / share(b["r"], F.col("nr"))))
+    total = F.aggregate(F.transform("bins", term), F.lit(0.0), lambda a, x: a + x)
+    value = (F.when((F.col("nr") == 0) | (F.col("nc") == 0), F.lit(None).cast("double"))
+             .when(F.col("n_edges") < 3, F.lit(0.0)).otherwise(total))
+    return folded.select("feature", value.alias("psi"), *carry)
 
 
 def psi(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
@@ -84,18 +102,31 @@ def psi(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) ->
     bounded by the number of columns. `accuracy` switches to sketched quantiles (of `sided` rows,
     which all weigh the same): then nothing but histogram counts is exchanged.
     """
-    bins = side_histograms(counts, layout, accuracy).select(
-        "feature", "n_edges", F.col("ref_n").alias("r"), F.col("cur_n").alias("c"))
-    folded = bins.groupBy("feature").agg(
-        F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.first("n_edges").alias("n_edges"),
-        F.collect_list(F.struct("r", "c")).alias("bins"))  # at most BUCKETS entries
-    share = lambda n, total: F.greatest(n / total, F.lit(FLOOR))
-    term = lambda b: ((share(b["c"], F.col("nc")) - share(b["r"], F.col("nr")))
-                      * F.log(share(b["c"], F.col("nc")) / share(b["r"], F.col("nr"))))
-    total = F.aggregate(F.transform("bins", term), F.lit(0.0), lambda a, x: a + x)
-    value = (F.when((F.col("nr") == 0) | (F.col("nc") == 0), F.lit(None).cast("double"))
-             .when(F.col("n_edges") < 3, F.lit(0.0)).otherwise(total))
-    return folded.select("feature", value.alias("psi"))
+    return _psi_of(side_histograms(counts, layout, accuracy))
+
+
+def side_profile(counts: DataFrame, layout: str = "auto") -> DataFrame:
+    """(feature, n_ref, n_cur, ks_statistic, reference_mean, current_mean, mean_shift, edges).
+
+    Plain layout: running and total counts share one exchange by feature and fold into one aggregate.
+    """
+    if settled(layout, counts) == "chunked":
+        edges = _edges(counts, "chunked", None).withColumnRenamed("__f", "feature")
+        return (ks_statistic(counts, "chunked").join(mean_shift(counts), "feature")
+                .join(edges, "feature", "left"))
+    whole = W.partitionBy("feature")
+    upto = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumns({
+        "ref_upto": F.sum("ref_n").over(upto), "cur_upto": F.sum("cur_n").over(upto),
+        "__nr": F.sum("ref_n").over(whole), "__nc": F.sum("cur_n").over(whole)})
+    gap = F.abs(F.try_divide("ref_upto", "__nr") - F.try_divide("cur_upto", "__nc"))
+    mean = lambda n: F.try_divide(F.sum(F.col("value") * F.col(n)), F.sum(n))
+    probs = F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
+    return ranked.groupBy("feature").agg(
+        F.sum("ref_n").alias("n_ref"), F.sum("cur_n").alias("n_cur"), F.max(gap).alias("ks_statistic"),
+        mean("ref_n").alias("reference_mean"), mean("cur_n").alias("current_mean"),
+        F.array_distinct(F.percentile("value", probs, F.col("ref_n"))).alias("edges"),
+    ).withColumn("mean_shift", F.col("current_mean") - F.col("reference_mean"))
 
 
 def ks_statistic(counts: DataFrame, layout: str = "auto", **sizes) -> DataFrame:
@@ -135,16 +166,23 @@ def drift_report(
         return reference.sparkSession.createDataFrame([], (
             "feature string, psi double, psi_level string, ks_statistic double, ks_pvalue double, "
             "reference_mean double, current_mean double, mean_shift double"))
-    return report_of(sided(reference, current, features), layout, accuracy)
+    return report_of(sided(reference, current, features), len(features), layout, accuracy)
 
 
-def report_of(long: DataFrame, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
+def report_of(long: DataFrame, n_features: int = 1, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
     """The report from `sided` or `sided_by` rows. Every part reads the same per-value counts, so that
     the wide input is computed and exchanged once."""
+    layout = settled(layout, long, n_features)
     counts = counts_by_value(long)
-    ks = ks_statistic(counts, layout).where((F.col("n_ref") >= MIN_SIDE_ROWS) & (F.col("n_cur") >= MIN_SIDE_ROWS))
-    shares = psi(counts if accuracy is None else long, layout, accuracy)
-    out = ks.join(shares, "feature").join(mean_shift(counts), "feature")
+    profile = side_profile(counts, layout)
+    facts = ["n_ref", "n_cur", "ks_statistic", "reference_mean", "current_mean", "mean_shift"]
+    if accuracy is None:
+        # the profile rides along with the edges, so that the counts are read by two branches and exchanged once
+        slim = profile.select(F.col("feature").alias("__f"), "edges", *facts)
+        out = _psi_of(_place(counts, slim, facts), facts)
+    else:
+        out = profile.join(F.broadcast(psi(long, layout, accuracy)), "feature")
+    out = out.where((F.col("n_ref") >= MIN_SIDE_ROWS) & (F.col("n_cur") >= MIN_SIDE_ROWS))
     return out.select(
         "feature", "psi", psi_level("psi").alias("psi_level"), "ks_statistic",
         ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import half_even
-from fleetpulse.operators.ordering import positions, quantiles, with_neighbours
+from fleetpulse.operators.ordering import positions, quantiles, settled, with_neighbours
 from fleetpulse.schema import ReadingSchema
 
 TRACE_POINTS = 2000
@@ -60,6 +60,7 @@ def describe_features(df: DataFrame, columns: Sequence[str], digits: int = 3, la
     moments = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
+    layout = settled(layout, long, len(columns))
     q = quantiles(long, "feature", "value", (0.25, 0.5, 0.75), layout=layout).withColumnRenamed("feature", "__f")
     wide = moments.join(q, moments["feature"] == q["__f"], "left")
     b = lambda c: half_even(c, digits)
@@ -86,7 +87,8 @@ def box_summary(df: DataFrame, key: str, value: str, layout: str = "auto") -> Da
 
 
 def sensor_distribution(df: DataFrame, sensors: Sequence[str], layout: str = "auto") -> DataFrame:
-    return box_summary(_long(df, sensors, "sensor"), "sensor", "value", layout)
+    long = _long(df, sensors, "sensor")
+    return box_summary(long, "sensor", "value", settled(layout, long, len(sensors)))
 
 
 def feature_by_class(df: DataFrame, schema: ReadingSchema, feature: str, layout: str = "auto") -> DataFrame:

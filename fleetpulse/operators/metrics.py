@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import argmax, half_even, name_at, ratio
-from fleetpulse.operators.ordering import quantiles, running_totals
+from fleetpulse.operators.ordering import quantiles, running_totals, settled
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -37,6 +37,7 @@ def score_counts(df: DataFrame, classes: Sequence[str]) -> DataFrame:
 def cumulative_counts(df: DataFrame, classes: Sequence[str], layout: str = "auto", **sizes) -> DataFrame:
     """Counts at or above each distinct score, with class totals; classes without a positive are dropped."""
     counts = score_counts(df, classes)
+    layout = settled(layout, counts, len(classes))
     cum = running_totals(counts, "class", [F.desc("p")], {"tp": "tp_n", "seen": "n"}, layout, **sizes)
     totals = counts.groupBy(F.col("class").alias("__k")).agg(
         F.sum("tp_n").alias("positives"), F.sum("n").alias("rows"))
@@ -90,6 +91,7 @@ def calibration_table(df: DataFrame, classes: Sequence[str], bins: int = 10, lay
     """Mean score and share of positives per quantile bin of each class; empty bins are left out."""
     long = explode_scores(df, classes)
     probs = [i / bins for i in range(bins + 1)]
+    layout = settled(layout, long, len(classes))
     edges = quantiles(long, "class", "p", probs, layout=layout).select(F.col("class").alias("__k"), F.col("q").alias("edges"))
     joined = long.join(edges, long["class"] == edges["__k"])
     place = F.lit(0)

@@ -38,10 +38,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """True if even one single task could hold all of `df`."""
-    limit = limit or int(df.sparkSession.conf.get("spark.fleetpulse.oneTaskBytes", str(ONE_TASK_BYTES)))
-    return plan_bytes(df) <= limit
+def fits_one_task(df: DataFrame, parts: int = 1) -> bool:
+    """True if one task could hold the largest key of `df`: all of it, or one of `parts` equal parts
+    where the rows are known to spread evenly (an unpivot gives every column the same number of rows)."""
+    limit = int(df.sparkSession.conf.get("spark.fleetpulse.oneTaskBytes", str(ONE_TASK_BYTES)))
+    return plan_bytes(df) <= limit * parts
+
+
+def settled(layout: str, df: DataFrame, parts: int = 1) -> str:
+    """Settle "auto" once for several operators on the same evenly spread long table."""
+    if layout != "auto":
+        return layout
+    return "plain" if fits_one_task(df, parts) else "chunked"
 
 
 def hot_keys(df: DataFrame, key: str, max_rows: int = MAX_KEY_ROWS) -> DataFrame:
