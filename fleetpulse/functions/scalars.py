@@ -29,6 +29,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body or the optimizer repeats it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def name_at(names: list[str], index: Column) -> Column:
     """Name of a zero-based class index."""
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))

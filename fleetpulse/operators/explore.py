@@ -99,10 +99,12 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum; empty bins are kept."""
     known = df.where(F.col(value).isNotNull())
     span = known.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
+    known, span = known.withColumn("__span", span), F.col("__span")
     width = (span["hi"] - span["lo"]) / bins
     place = F.when(width > 0, F.least(F.floor((F.col(value) - span["lo"]) / width), F.lit(bins - 1))).otherwise(0)
     filled = known.select(place.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    limits = df.where(F.col(value).isNotNull()).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), limits.alias("__span"))
     return every.join(filled, "bin", "left").select(
         "bin", (span["lo"] + F.col("bin") * width).alias("lower"),
         (span["lo"] + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("n", F.lit(0)).alias("count"))

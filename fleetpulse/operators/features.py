@@ -106,10 +106,10 @@ def navigation_consistency(df: DataFrame, fitted: dict[str, float] | None = None
     if fitted:
         stat = lambda n: F.lit(fitted[n])
     else:
-        row = navigation_stats(df if stats_from is None else stats_from).scalar()
-        stat = lambda n: row[n]
+        df = df.withColumn("__nav", navigation_stats(df if stats_from is None else stats_from).scalar())
+        stat = lambda n: F.col("__nav")[n]
     z = lambda n: F.abs((F.col(n) - stat(f"{n}_mean")) / (stat(f"{n}_std") + 1e-6))
-    return df.withColumn("navigation_consistency_score", 1.0 / (1.0 + z("speed") + z("altitude")))
+    return df.withColumn("navigation_consistency_score", 1.0 / (1.0 + z("speed") + z("altitude"))).drop("__nav")
 
 
 def fusion_indices(df: DataFrame) -> DataFrame:

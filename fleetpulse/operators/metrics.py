@@ -159,13 +159,13 @@ def apply_thresholds(df: DataFrame, classes: Sequence[str], thresholds: DataFram
     if isinstance(thresholds, dict):
         limit = lambda c: F.lit(float(thresholds.get(c, DEFAULT_THRESHOLD)))
     else:
-        table = threshold_map(thresholds)
-        limit = lambda c: F.coalesce(F.try_element_at(table, F.lit(c)), F.lit(DEFAULT_THRESHOLD))
+        df = df.withColumn("__t", threshold_map(thresholds))
+        limit = lambda c: F.coalesce(F.try_element_at("__t", F.lit(c)), F.lit(DEFAULT_THRESHOLD))
     margins = F.array(*[
         F.when(F.col("probs")[i] >= limit(c), F.col("probs")[i] - limit(c)) for i, c in enumerate(classes)])
     fired = argmax(F.col("__m"))
     pick = F.when(F.array_max("__m").isNotNull(), fired).otherwise(argmax(F.col("probs")))
-    return df.withColumn("__m", margins).withColumn(name, name_at(list(classes), pick)).drop("__m")
+    return df.withColumn("__m", margins).withColumn(name, name_at(list(classes), pick)).drop("__m", "__t")
 
 
 def predict_argmax(df: DataFrame, classes: Sequence[str], name: str = "predicted_fault") -> DataFrame:

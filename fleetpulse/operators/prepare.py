@@ -79,8 +79,10 @@ def standardize(df: DataFrame, columns: Sequence[str], split: str | None = "spli
     stats = fit.agg(F.struct(*[
         fn(c).alias(f"{c}_{tag}") for c in columns for tag, fn in (("m", F.avg), ("s", F.stddev_pop))
     ]).alias("stats")).scalar()
-    scale = lambda c: F.when(stats[f"{c}_s"] == 0, F.lit(1.0)).otherwise(stats[f"{c}_s"])
-    return df.withColumns({c: (F.col(c) - stats[f"{c}_m"]) / scale(c) for c in columns})
+    fitted = F.col("__stats")  # one subquery, read by every column
+    scale = lambda c: F.when(fitted[f"{c}_s"] == 0, F.lit(1.0)).otherwise(fitted[f"{c}_s"])
+    return df.withColumn("__stats", stats).withColumns(
+        {c: (F.col(c) - fitted[f"{c}_m"]) / scale(c) for c in columns}).drop("__stats")
 
 
 class _Columns(Params):
