@@ -1 +1,129 @@
+"""Models trained on the fused readings, neighbours on the embeddings."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetpulse.catalog.ranking import FEATURES, MODEL, features_z
+from fleetpulse.catalog.registry import query, r6, with_
+from fleetpulse.catalog.views import CLASSES, READINGS, readings, scored, table
+from fleetpulse.functions.scalars import rounded
+from fleetpulse.operators import attribution as at
+from fleetpulse.operators import isolation as iso
+from fleetpulse.operators import knn
+from fleetpulse.operators import metrics as mt
+from fleetpulse.operators import models as md
+from fleetpulse.operators import prepare as pr
+from fleetpulse.schema import SENSORS
+from fleetpulse.session import scratch_path
+from fleetpulse.sources import registry as rg
+
+# small budgets: the check runs every model on the whole table
+SMALL = {
+    "Random Forest": {"numTrees": 10, "maxDepth": 6}, "SVM": {"maxIter": 5, "size": 32}, "KNN": {},
+    "Logistic Regression": {"maxIter": 20}, "Decision Tree": {"maxDepth": 6},
+    "LightGBM": {"maxIter": 2, "maxDepth": 3}, "XGBoost": {"maxIter": 2, "maxDepth": 3},
+}
+
+
+def prepared(spark, sf_dir):
+    """Raw sensors only: the models see every row, the check stays short."""
+    return md.prepare_training(readings(spark, sf_dir), READINGS)
+
+
+def _trained(name):
+    def run(spark, sf_dir):
+        t = md.train_model(name, prepared(spark, sf_dir), READINGS, SMALL[name])
+        return t.predictions.select("event_id", "label", "predicted_fault", F.array_max("probs").alias("confidence"))
+    return run
+
+
+for _key, _name in {"train_random_forest": "Random Forest", "train_decision_tree": "Decision Tree", "train_logistic": "Logistic Regression",
+                    "train_svm": "SVM", "train_boosted_small_rate": "LightGBM", "train_boosted_depth6": "XGBoost"}.items():
+    query(_key)(_trained(_name))
+
+
+@query("train_all")
+def train_all(spark, sf_dir):
+    names = ["Random Forest", "Decision Tree", "Logistic Regression", "KNN"]
+    return md.compare(md.train_all(prepared(spark, sf_dir), READINGS, SMALL, names))
+
+
+@query("build_with_params")
+def build_with_params(spark, sf_dir):
+    t = md.train_model("Decision Tree", prepared(spark, sf_dir), READINGS, {"maxDepth": 4, "impurity": "entropy"})
+    return md.compare({"Decision Tree": t})
+
+
+_SPLIT = ("s", "SELECT vec_id, embedding, label, CASE WHEN rn <= ceil(0.2e0 * n) THEN 'test' ELSE 'train' END AS split FROM (SELECT *, "
+          "row_number() OVER (PARTITION BY label ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '-42')), vec_id) AS rn, count(*) OVER "
+          "(PARTITION BY label) AS n FROM embeddings) t")
+_PAIRS = ("pairs", "SELECT q.vec_id AS query, t.vec_id AS neighbour, t.label AS class, sqrt(list_sum(list_transform(list_zip("
+          "CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance "
+          "FROM s q JOIN s t ON q.split = 'test' AND t.split = 'train'")
+_NEAR = ("near", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM pairs) t "
+         "WHERE rank <= 7")
+
+
+def neighbours(spark, sf_dir):
+    split = pr.stratified_split(table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    train = split.where("split = 'train'")
+    return knn.knn_join(train, split.where("split = 'test'"), "vec_id", "embedding", 7), train
+
+
+@query("knn_join", with_(_SPLIT, _PAIRS, _NEAR, select=f"SELECT query, neighbour, {r6('distance', 'distance')}, CAST(rank AS INTEGER) AS rank FROM near"))
+def knn_join(spark, sf_dir):
+    return rounded(neighbours(spark, sf_dir)[0])
+
+
+@query("knn_classify", with_(_SPLIT, _PAIRS, _NEAR, ("votes", "SELECT query, class, sum(CASE WHEN z THEN CASE WHEN distance = 0 THEN 1e0 "
+       "ELSE 0e0 END ELSE 1e0 / distance END) AS v FROM (SELECT *, min(distance) OVER (PARTITION BY query) = 0 AS z FROM near) t GROUP BY 1, 2"),
+       select=f"SELECT query, class, {r6('v / sum(v) OVER (PARTITION BY query)', 'p')} FROM votes WHERE v > 0"))
+def knn_classify(spark, sf_dir):
+    near, train = neighbours(spark, sf_dir)
+    return rounded(knn.knn_classify(near, train, "vec_id", "label"))
+
+
+@query("calibrate")
+def calibrate(spark, sf_dir):
+    """ECE before and after, both maps, on the score table."""
+    df = scored(spark, sf_dir)
+    before = mt.expected_calibration_error(df, CLASSES).scalar()
+    parts = [mt.expected_calibration_error(md.calibrate(df, CLASSES, m).transform(df), CLASSES).select(
+        F.lit(m).alias("method"), before.alias("ece_before"), F.col("ece").alias("ece_after")) for m in ("isotonic", "sigmoid")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("search_hyperparameters")
+def search_hyperparameters(spark, sf_dir):
+    return md.search("Decision Tree", prepared(spark, sf_dir), trials=2, folds=2, limits={"maxDepth": 4})
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf_dir):
+    df = pr.standardize(readings(spark, sf_dir), SENSORS, split=None)
+    nodes = iso.fit_isolation_forest(df, SENSORS, "event_id", trees=25)
+    out = iso.score_isolation(df, nodes, SENSORS)
+    return iso.flag_anomalies(out.select("event_id", "fault_type", "score"), "score")
+
+
+@query("train_rul")
+def train_rul(spark, sf_dir):
+    _, test = md.train_rul(readings(spark, sf_dir), READINGS, numTrees=5, maxDepth=5)
+    return mt.regression_metrics(test, "rul", "prediction")
+
+
+@query("shapley_attribution")
+def shapley_attribution(spark, sf_dir):
+    df = features_z(spark, sf_dir)
+    return at.shapley_attribution(df, MODEL.probabilities, FEATURES, CLASSES, "event_id", max_rows=20, permutations=5)
+
+
+@query("registry_register")
+def registry_register(spark, sf_dir):
+    """Register, list and reload the preparation stages fitted on the readings."""
+    data, root = prepared(spark, sf_dir), scratch_path(spark, "registry")
+    first = rg.register(spark, root, data.stages, "Scaler", 0.5, 0.6, len(data.features))
+    rg.register(spark, root, data.stages, "Scaler", 0.7, 0.8, len(data.features))
+    assert rg.load(spark, root, first) is not None
+    return rg.entries(spark, root).select("model_name", "metric_f1", "metric_accuracy", "n_features")
