@@ -44,7 +44,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, trees
     dealt = dealt.withColumn("tree", F.floor(slot / sample).cast("int")).where(F.col("tree") < trees)
     depth = max(1, math.ceil(math.log2(max(2, min(sample, rows)))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
         x = np.stack(pdf.sort_values("key")["x"].to_numpy()).astype(float)
         nodes, todo = [], [(0, np.arange(len(x)), 0)]

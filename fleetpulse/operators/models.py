@@ -265,7 +265,7 @@ def calibrate(df: DataFrame, classes: Sequence[str], method: str = "isotonic") -
                 F.struct(F.lit(1.0).alias("label"), F.col("tp_n").cast("double").alias("w")),
                 F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("tp_n")).cast("double").alias("w"))))).where("w > 0")
             fit = sides.select(array_to_vector(F.array("p")).alias("x"), "label", "w")
-            models.append(LogisticRegression(featuresCol="x", labelCol="label", weightCol="w").fit(fit))
+            models.append(LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=25).fit(fit))
     counts.unpersist()
     return Calibrator(models, method)
 
