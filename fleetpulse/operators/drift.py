@@ -64,15 +64,19 @@ def _edges(counts: DataFrame, layout: str, accuracy: int | None) -> DataFrame:
     return q.select(F.col("feature").alias("__f"), F.array_distinct("q").alias("edges"))
 
 
-def _place(counts: DataFrame, edges: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    joined = counts.join(F.broadcast(edges), counts["feature"] == edges["__f"], "left")  # one row per column
+def _bin() -> Column:
+    """Bin of `value` between `edges`: how many inner edges lie at or below it."""
     place = F.lit(0)
     for i in range(1, BUCKETS):
         inner = F.lit(i) < F.size("edges") - 1
         place = place + F.when(inner & (F.col("value") >= F.get("edges", F.lit(i))), 1).otherwise(0)
-    return joined.groupBy("feature", place.alias("bin")).agg(
-        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"), F.first(F.size("edges")).alias("n_edges"),
-        *[F.first(c).alias(c) for c in carry])
+    return place
+
+
+def _place(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    joined = counts.join(F.broadcast(edges), counts["feature"] == edges["__f"], "left")  # one row per column
+    return joined.groupBy("feature", _bin().alias("bin")).agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"), F.first(F.size("edges")).alias("n_edges"))
 
 
 def side_histograms(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
@@ -80,18 +84,19 @@ def side_histograms(counts: DataFrame, layout: str = "auto", accuracy: int | Non
     return _place(counts, _edges(counts, layout, accuracy))
 
 
-def _psi_of(histograms: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+def _psi_of(histograms: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
     folded = histograms.groupBy("feature").agg(
         F.sum("ref_n").alias("nr"), F.sum("cur_n").alias("nc"), F.first("n_edges").alias("n_edges"),
         F.collect_list(F.struct(F.col("ref_n").alias("r"), F.col("cur_n").alias("c"))).alias("bins"),  # BUCKETS at most
-        *[F.first(c).alias(c) for c in carry])
+        *more)
     share = lambda n, total: F.greatest(n / total, F.lit(FLOOR))
     term = lambda b: ((share(b["c"], F.col("nc")) - share(b["r"], F.col("nr")))
                       * F.log(share(b["c"], F.col("nc")) / share(b["r"], F.col("nr"))))
     total = F.aggregate(F.transform("bins", term), F.lit(0.0), lambda a, x: a + x)
     value = (F.when((F.col("nr") == 0) | (F.col("nc") == 0), F.lit(None).cast("double"))
              .when(F.col("n_edges") < 3, F.lit(0.0)).otherwise(total))
-    return folded.select("feature", value.alias("psi"), *carry)
+    done = ("nr", "nc", "n_edges", "bins")
+    return folded.withColumn("psi", value).drop(*done)
 
 
 def psi(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
@@ -105,28 +110,31 @@ def psi(counts: DataFrame, layout: str = "auto", accuracy: int | None = None) ->
     return _psi_of(side_histograms(counts, layout, accuracy))
 
 
-def side_profile(counts: DataFrame, layout: str = "auto") -> DataFrame:
-    """(feature, n_ref, n_cur, ks_statistic, reference_mean, current_mean, mean_shift, edges).
+def side_profile(counts: DataFrame, layout: str) -> DataFrame:
+    """(feature, n_ref, n_cur, ks_statistic, reference_mean, current_mean, mean_shift), one row per feature."""
+    return ks_statistic(counts, layout).join(F.broadcast(mean_shift(counts)), "feature")
 
-    Plain layout: running and total counts share one exchange by feature and fold into one aggregate.
-    """
-    if settled(layout, counts) == "chunked":
-        edges = _edges(counts, "chunked", None).withColumnRenamed("__f", "feature")
-        return (ks_statistic(counts, "chunked").join(mean_shift(counts), "feature")
-                .join(edges, "feature", "left"))
+
+def _one_pass(counts: DataFrame) -> DataFrame:
+    """Facts and PSI of features that fit one task each: running counts, totals and edges share one exchange
+    by feature, then everything folds per bin and per feature without another read of the counts."""
+    probs = F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
     whole = W.partitionBy("feature")
     upto = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumns({
         "ref_upto": F.sum("ref_n").over(upto), "cur_upto": F.sum("cur_n").over(upto),
-        "__nr": F.sum("ref_n").over(whole), "__nc": F.sum("cur_n").over(whole)})
+        "__nr": F.sum("ref_n").over(whole), "__nc": F.sum("cur_n").over(whole),
+        "edges": F.array_distinct(F.percentile("value", probs, F.col("ref_n")).over(whole))})
     gap = F.abs(F.try_divide("ref_upto", "__nr") - F.try_divide("cur_upto", "__nc"))
-    mean = lambda n: F.try_divide(F.sum(F.col("value") * F.col(n)), F.sum(n))
-    probs = F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
-    return ranked.groupBy("feature").agg(
-        F.sum("ref_n").alias("n_ref"), F.sum("cur_n").alias("n_cur"), F.max(gap).alias("ks_statistic"),
-        mean("ref_n").alias("reference_mean"), mean("cur_n").alias("current_mean"),
-        F.array_distinct(F.percentile("value", probs, F.col("ref_n"))).alias("edges"),
-    ).withColumn("mean_shift", F.col("current_mean") - F.col("reference_mean"))
+    bins = ranked.groupBy("feature", _bin().alias("bin")).agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"), F.first(F.size("edges")).alias("n_edges"),
+        F.max(gap).alias("gap"), F.sum(F.col("value") * F.col("ref_n")).alias("ref_sum"),
+        F.sum(F.col("value") * F.col("cur_n")).alias("cur_sum"))
+    folded = _psi_of(bins, [
+        F.sum("ref_n").alias("n_ref"), F.sum("cur_n").alias("n_cur"), F.max("gap").alias("ks_statistic"),
+        F.try_divide(F.sum("ref_sum"), F.sum("ref_n")).alias("reference_mean"),
+        F.try_divide(F.sum("cur_sum"), F.sum("cur_n")).alias("current_mean")])
+    return folded.withColumn("mean_shift", F.col("current_mean") - F.col("reference_mean"))
 
 
 def ks_statistic(counts: DataFrame, layout: str = "auto", **sizes) -> DataFrame:
@@ -170,18 +178,15 @@ def drift_report(
 
 
 def report_of(long: DataFrame, n_features: int = 1, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
-    """The report from `sided` or `sided_by` rows. Every part reads the same per-value counts, so that
-    the wide input is computed and exchanged once."""
+    """The report from `sided` or `sided_by` rows, by way of per-value counts. In the plain layout the wide
+    input is computed and exchanged once."""
     layout = settled(layout, long, n_features)
     counts = counts_by_value(long)
-    profile = side_profile(counts, layout)
-    facts = ["n_ref", "n_cur", "ks_statistic", "reference_mean", "current_mean", "mean_shift"]
-    if accuracy is None:
-        # the profile rides along with the edges, so that the counts are read by two branches and exchanged once
-        slim = profile.select(F.col("feature").alias("__f"), "edges", *facts)
-        out = _psi_of(_place(counts, slim, facts), facts)
+    if layout == "plain" and accuracy is None:
+        out = _one_pass(counts)
     else:
-        out = profile.join(F.broadcast(psi(long, layout, accuracy)), "feature")
+        shares = psi(counts if accuracy is None else long, layout, accuracy)
+        out = side_profile(counts, layout).join(F.broadcast(shares), "feature")  # one row per column
     out = out.where((F.col("n_ref") >= MIN_SIDE_ROWS) & (F.col("n_cur") >= MIN_SIDE_ROWS))
     return out.select(
         "feature", "psi", psi_level("psi").alias("psi_level"), "ks_statistic",
