@@ -27,11 +27,10 @@ LIVE_SENSORS = ("motor_temperature", "battery_level", "voltage", "current", "vib
 LIVE_ROWS = 120
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet folder (or single file) as a stream."""
-    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_batch: int = 64) -> DataFrame:
+    """Parquet folder (or single file) as a stream. The limit per micro-batch bounds what one task of the
+    per-system jobs can receive, also while a backlog is worked off."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     # a pattern that matches just this path: the file source takes plain paths for folders only
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
