@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from fleetpulse.llm.common import table
-from fleetpulse.llm import minhash_dedup
+from fleetpulse.llm import minhash_dedup, packing, token_counts, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,3 +23,18 @@ def query(key: str, sql: str | None = None):
 @query("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query("op3_wavelet_token_files")
+def op3(spark, sf_dir):
+    return wavelet.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query("op9_best_fit_packing")
+def op9(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
