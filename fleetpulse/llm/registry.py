@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import minhash_dedup, packing, token_counts, wavelet
+from fleetpulse.llm import minhash_dedup, packing, token_counts, url_filter, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,25 @@ def op8(spark, sf_dir):
 @query("op9_best_fit_packing")
 def op9(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op2_url_digest_filter", r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+rules(rhost, rpath, action) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES) + r"""),
+fit AS (
+  SELECT page_id, host, path, rhost || rpath AS rule, action,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST, length(rhost) DESC) AS k
+  FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fit WHERE k = 1
+""")
+def op2(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
