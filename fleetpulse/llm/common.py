@@ -139,6 +139,49 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[n
             yield np.zeros(0, np.uint64)
 
 
+FILTER_BITS = 1 << 25       # 4 MB whatever the number of ids
+
+
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two positions of each id in the filter, as word numbers and bits in the word."""
+    at = np.concatenate([mix(ids.view(np.uint64) + np.uint64(k)) for k in (11, 29)]) & np.uint64(FILTER_BITS - 1)
+    return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+
+def only_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` (long) is in the one-column table `ids`, with those ids' rows alone entering the shuffle.
+
+    A filter of fixed size (FILTER_BITS) is made from the ids in Spark and sent to the tasks; what passes it by chance
+    falls out in the join behind it. With very many ids it fills up and only the join works.
+    """
+    spark = rows.sparkSession
+    name = ids.columns[0]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = _bits(batch.column(0).drop_null().to_numpy())
+            order = np.argsort(word, kind="stable")
+            word, bit = word[order], bit[order]
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, int)
+            bit = np.bitwise_or.reduceat(bit, first) if len(word) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(bit.view(np.int64))], names=["word", "bits"])
+
+    got = ids.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    full = np.zeros(FILTER_BITS // 64, np.uint64)
+    full[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(full)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(column)
+            word, bit = _bits(values.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = ((sent.value[word] & bit) != 0).reshape(2, -1).all(axis=0) & values.is_valid().to_numpy(zero_copy_only=False)
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    return rows.mapInArrow(passing, rows.schema).join(ids.withColumnRenamed(name, column).distinct(), column, "left_semi")
+
+
 def connected_components(edges: DataFrame, keep: list | None = None, max_rounds: int = 60) -> DataFrame:
     """Alternate large-star and small-star until the edges stand still; (u, v) longs → one (node, component) row per node.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, settled, shingle_sets, text_buffers
+from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, only_members, settled, shingle_sets, text_buffers
 
 BANDS, ROWS = 40, 6          # a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8^6)^40 = 5e-6
 SLACK = 0.12                 # 4.6 standard deviations of the estimate from 240 minima at 0.8
@@ -88,34 +88,74 @@ def _exact(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, own: list) -> DataFrame:
+def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, percent: int, own: list) -> DataFrame:
     """Pairs (a, b) → those alike by signature and then at least `percent` similar on their full sets."""
-    tiny = sigs.select("doc_id", "tiny")
+    tiny = core.select("doc_id", "tiny")
     near = pairs.join(tiny.toDF("a", "ta"), "a").join(tiny.toDF("b", "tb"), "b")
-    near = settled(near.mapInArrow(_alike(percent / 100 - SLACK), "a long, b long").distinct(), "alike", own)
+    near = settled(near.mapInArrow(_alike(percent / 100 - SLACK), "a long, b long"), "alike", own)
     named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = settled(docs.join(named, "doc_id", "left_semi"), "texts", own)
+    texts = settled(only_members(docs, named, "doc_id"), "texts", own)
     full = near.join(texts.toDF("a", "xa"), "a").join(texts.toDF("b", "xb"), "b")
     return settled(full.mapInArrow(_exact(width, percent), "a long, b long").distinct(), "links", own)
 
 
-def _across(limit: float):
-    """Pairs of one bucket (or of two of its blocks) in different components whose signatures agree."""
+def _sides(key: tuple, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks of a bucket that meet in this task; for a block with itself both are the same."""
+    return group[group["block"] == key[1]], group[group["block"] == key[2]]
+
+
+def _tiny(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["tiny"]), np.uint8).reshape(len(rows), BANDS * ROWS)
+
+
+def _open_members(limit: float):
+    """The members of a bucket that agree by signature with a member of another component; not the pairs."""
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["block"] == key[1]]
-        right = group[group["block"] == key[2]]
-        a = np.frombuffer(b"".join(left["tiny"]), np.uint8).reshape(len(left), -1)
-        b = np.frombuffer(b"".join(right["tiny"]), np.uint8).reshape(len(right), -1)
-        ia, ib = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        left, right = _sides(key, group)
+        a, b = _tiny(left), _tiny(right)
         ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-        found = []
+        hit_a, hit_b = np.zeros(len(left), bool), np.zeros(len(right), bool)
         for k in range(len(left)):
             other = np.flatnonzero(cb != ca[k])
-            if len(other):
-                hit = other[agreement(a[k], b[other]) >= limit]
-                found.append(np.stack([np.minimum(ia[k], ib[hit]), np.maximum(ia[k], ib[hit])], 1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            good = other[agreement(a[k], b[other]) >= limit]
+            hit_a[k] |= len(good) > 0
+            hit_b[good] = True
+        out = pd.concat([left[hit_a], right[hit_b]]).drop_duplicates("doc_id")
+        return out[["key", "x", "y", "block", "doc_id", "component", "tiny"]]
+    return run
+
+
+def _across(limit: float, percent: int):
+    """Links between components of a bucket, confirmed on full sets; a pair already joined here is passed over, so the
+    links found are at most one fewer than the members."""
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(key, group)
+        a, b = _tiny(left), _tiny(right)
+        sets_a, sets_b = ([np.frombuffer(s, np.uint64) for s in side["own"]] for side in (left, right))
+        ia, ib = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        names, at = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+        ca, cb = at[: len(left)], at[len(left) :]
+        joined = np.arange(len(names))
+        found = []
+        for k in range(len(left)):
+            other = np.flatnonzero(joined[cb] != joined[ca[k]])
+            for j in other[agreement(a[k], b[other]) >= limit]:
+                if joined[cb[j]] == joined[ca[k]]:
+                    continue
+                x, y = sets_a[k], sets_b[j]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((ia[k], ib[j]))
+                    joined[joined == joined[cb[j]]] = joined[ca[k]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            own = [s.tobytes() for s in shingle_sets(*text_buffers(batch.column("text")), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "own"])
     return run
 
 
@@ -129,8 +169,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     1. Minima and band keys per document; equal sets are one class (128-bit digest), represented by its smallest id.
     2. In each bucket every member is compared with the bucket's smallest id only: a star, not all pairs.
     3. Pairs pass the signature check, then the exact check on full texts; components by large-star and small-star.
-    4. Buckets that still hold more than one component have those members compared across components, in blocks, so
-       no link that shares a bucket is lost; new links are verified alike and the components joined.
+    4. In buckets that still hold more than one component, members that agree by signature with one of another component
+       meet again, in blocks, with their full sets; links that join components are kept and the components joined. So no
+       pair that shares a bucket is passed over, and no task emits all pairs.
 
     Null texts are empty. Rows with a null doc_id stay single: component_id null, kept true. Repeated rows return
     repeatedly; rows that share an id are each judged by their own text. Other columns are ignored. An empty table gives an empty result.
@@ -140,14 +181,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     limit = percent / 100 - SLACK
     sigs = settled(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
-    full = sigs.where("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "d1", "d2"]
+    full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = settled(full.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
-    core = full.join(classes.select("rep", *digest), [*digest]).where("doc_id = rep").dropDuplicates(["doc_id", *digest])
-    core = settled(core.select("doc_id", "bands", "tiny"), "core", own)
+    reps = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"r_{c}") for c in digest])
+    core = full.join(reps, "doc_id").where("n_shingles = r_n_shingles and d1 = r_d1 and d2 = r_d2").select("doc_id", "bands", "tiny")
+    core = settled(core, "core", own)
     members = core.select("doc_id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = settled(buckets, "buckets", own)
+    buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
+    buckets = settled(buckets.where("a <> z").drop("z"), "buckets", own)
     inside = settled(members.join(buckets, "key").select("key", "doc_id", "a", "n"), "inside", own)
     pairs = inside.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = _verified(pairs, core, docs, width, percent, own)
@@ -161,8 +203,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component", "tiny")
-    more = rest.groupBy("key", "x", "y").applyInPandas(_across(limit), "a long, b long").distinct()
-    more = _verified(settled(more, "across", own), core, docs, width, percent, own)
+    kinds = "key long, x int, y int, block int, doc_id long, component long, tiny binary"
+    rest = settled(rest.groupBy("key", "x", "y").applyInPandas(_open_members(limit), kinds), "open", own)
+    sets = only_members(docs, rest.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, own binary")
+    more = rest.join(sets, "doc_id").groupBy("key", "x", "y").applyInPandas(_across(limit, percent), "a long, b long")
+    more = settled(more.distinct(), "across", own)
     found = comps.toDF("u", "v").union(more.toDF("u", "v"))
     final = connected_components(found) if not more.isEmpty() else settled(comps, "components")
     drop_tables(spark, own)
