@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import minhash_dedup, packing, token_counts, url_filter, wavelet
+from fleetpulse.llm import minhash_dedup, packing, token_counts, toxicity, url_filter, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fit
 def op2(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op1_toxicity_crf")
+def op1(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
