@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import minhash_dedup, packing, token_counts, toxicity, url_filter, wavelet
+from fleetpulse.llm import contamination, minhash_dedup, packing, token_counts, toxicity, url_filter, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,41 @@ def op2(spark, sf_dir):
 @query("op1_toxicity_crf")
 def op1(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _contamination_sql(width: int = 5, share: float = 0.8) -> str:
+    """The same templates with RE2 patterns; windows are strings instead of hashes."""
+    c = contamination
+    marked = (f"lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{c.NAME_PATTERN}', '\\1{c.NAME}\\2', 'g'), "
+              f"'{c.NUMBER_PATTERN}', ' {c.NUMBER}\\1 ', 'g'), '{c.UNIT_PATTERN}', '\\1 {c.UNIT}\\2', 'g'))")
+    raw = f"list_filter(string_split_regex({marked}, '{c.BREAK_PATTERN}'), lambda w: w <> '')"
+    mark = f"regexp_matches(w, '^[{c.NUMBER}-{c.NAME}]')"
+    def windows(rel: str, key: str, first: int) -> str:
+        return (f"SELECT {key}, k, list_aggregate(list_transform(raw[k:k + {width - 1}], lambda w: CASE WHEN {mark} THEN w[1] ELSE w END), "
+                f"'string_agg', ' ') AS win, raw[k:k + {width - 1}] AS raw "
+                f"FROM (SELECT {key}, raw, unnest(range({first}, len(raw) - {width} + 2)) AS k FROM (SELECT {key}, {raw} AS raw FROM {rel} WHERE {key} IS NOT NULL))")
+    return f"""
+WITH d AS ({windows("documents", "doc_id", 1)}), i AS ({windows("benchmark", "item_id", 2)}),
+sizes AS (SELECT item_id, count(DISTINCT win) AS n_windows FROM i GROUP BY item_id),
+hits AS (
+  SELECT doc_id, d_i.item_id, n_windows, count(DISTINCT win) / n_windows AS coverage
+  FROM (SELECT DISTINCT doc_id, item_id, d.win FROM d JOIN (SELECT DISTINCT item_id, win FROM i) i ON d.win = i.win) d_i
+  JOIN sizes ON d_i.item_id = sizes.item_id GROUP BY doc_id, d_i.item_id, n_windows HAVING count(DISTINCT win) >= {share} * n_windows),
+met AS (
+  SELECT hits.doc_id, hits.item_id, d.k - i.k AS shift, i.k, unnest(i.raw) AS a, unnest(d.raw) AS b
+  FROM hits JOIN d ON hits.doc_id = d.doc_id JOIN i ON hits.item_id = i.item_id AND i.win = d.win),
+lines AS (
+  SELECT doc_id, item_id, shift, count(DISTINCT k) AS n, count(DISTINCT a) AS vals, count(DISTINCT (a, b)) AS maps, min(a = b) AS same
+  FROM met WHERE regexp_matches(a, '^[{c.NUMBER}-{c.NAME}]') GROUP BY doc_id, item_id, shift),
+slots AS (
+  SELECT doc_id, item_id, max(vals) AS n_slots, sum(CASE WHEN vals = maps THEN n ELSE 0 END) / sum(n) AS consistency, max(same) AS same
+  FROM lines GROUP BY doc_id, item_id)
+SELECT hits.doc_id, hits.item_id, n_windows, coverage, coalesce(n_slots, 0) AS n_slots, coalesce(consistency, 1.0)::DOUBLE AS consistency,
+       CASE WHEN coalesce(same, true) THEN 'verbatim' ELSE 'reparameterised' END AS kind
+FROM hits LEFT JOIN slots ON hits.doc_id = slots.doc_id AND hits.item_id = slots.item_id
+WHERE coalesce(consistency, 1.0) >= {share}"""
+
+
+@query("op4_template_decontamination", _contamination_sql())
+def op4(spark, sf_dir):
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
