@@ -12,36 +12,43 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, only_members, settled, shingle_sets, text_buffers
 
-BANDS, ROWS = 40, 6          # a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8^6)^40 = 5e-6
-SLACK = 0.12                 # 4.6 standard deviations of the estimate from 240 minima at 0.8
 BLOCK = 1500                 # members of a bucket that meet in one task
 
-_random = np.random.default_rng(7)
-_A = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
+class Scheme:
+    """`bands` × `rows` universal hashes a·x + b mod 2^32 over mixed 64-bit shingle hashes.
 
-def minima(own: np.ndarray) -> np.ndarray:
-    """The smallest value of each a·x + b over the set; 32-bit arithmetic on mixed 64-bit hashes."""
-    x = (own >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(_A), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        part = np.multiply.outer(_A, x[at : at + 2048])
-        part += _B[:, None]
-        np.minimum(out, part.min(axis=1), out=out)
-    return out
-
-
-def band_keys(low: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for k in range(ROWS):
-        key = mix(key ^ rows[:, k]) + np.uint64(k)
-    return key.view(np.int64)
-
+    A pair of similarity j shares no band with a chance of (1 - j^rows)^bands. The similarity estimated from all minima
+    is trusted within 4.6 standard deviations.
+    """
 
-def _signatures(width: int):
+    def __init__(self, bands: int = 40, rows: int = 6, similarity: float = 0.8):
+        self.bands, self.rows, self.n = bands, rows, bands * rows
+        self.limit = similarity - 4.6 * (similarity * (1 - similarity) / self.n) ** 0.5
+        draw = np.random.default_rng(7)
+        self.a = draw.integers(0, 1 << 32, self.n, dtype=np.uint32) | np.uint32(1)
+        self.b = draw.integers(0, 1 << 32, self.n, dtype=np.uint32)
+
+    def minima(self, own: np.ndarray) -> np.ndarray:
+        """The smallest value of each hash over the set."""
+        x = (own >> np.uint64(32)).astype(np.uint32)
+        out = np.full(self.n, 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(x), 2048):
+            part = np.multiply.outer(self.a, x[at : at + 2048])
+            part += self.b[:, None]
+            np.minimum(out, part.min(axis=1), out=out)
+        return out
+
+    def keys(self, low: np.ndarray) -> np.ndarray:
+        """One 64-bit key per band; the band's number is part of it."""
+        rows = low.reshape(self.bands, self.rows).astype(np.uint64)
+        key = mix(np.arange(1, self.bands + 1, dtype=np.uint64))
+        for k in range(self.rows):
+            key = mix(key ^ rows[:, k]) + np.uint64(k)
+        return key.view(np.int64)
+
+
+def _signatures(width: int, scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             size, first, second, bands, tiny = [], [], [], [], []
@@ -49,8 +56,8 @@ def _signatures(width: int):
                 size.append(len(own))
                 first.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                 second.append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                low = minima(own) if len(own) else None
-                bands.append(None if low is None else band_keys(low))
+                low = scheme.minima(own) if len(own) else None
+                bands.append(None if low is None else scheme.keys(low))
                 tiny.append(None if low is None else (low & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
@@ -88,11 +95,11 @@ def _exact(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, percent: int, own: list) -> DataFrame:
+def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, percent: int, limit: float, own: list) -> DataFrame:
     """Pairs (a, b) → those alike by signature and then at least `percent` similar on their full sets."""
     tiny = core.select("doc_id", "tiny")
     near = pairs.join(tiny.toDF("a", "ta"), "a").join(tiny.toDF("b", "tb"), "b")
-    near = settled(near.mapInArrow(_alike(percent / 100 - SLACK), "a long, b long"), "alike", own)
+    near = settled(near.mapInArrow(_alike(limit), "a long, b long"), "alike", own)
     named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = settled(only_members(docs, named, "doc_id"), "texts", own)
     full = near.join(texts.toDF("a", "xa"), "a").join(texts.toDF("b", "xb"), "b")
@@ -105,7 +112,7 @@ def _sides(key: tuple, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]
 
 
 def _tiny(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["tiny"]), np.uint8).reshape(len(rows), BANDS * ROWS)
+    return np.frombuffer(b"".join(rows["tiny"]), np.uint8).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.uint8)
 
 
 def _open_members(limit: float):
@@ -159,14 +166,14 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if the Jaccard similarity of their sets of `width`-word shingles is at least `percent` / 100;
     words are runs without ASCII white space, A-Z as a-z; a shorter text is one element, a text without words is empty
     and linked with nothing. component_id is the smallest doc_id reachable by links, kept marks it.
 
-    1. Minima and band keys per document; equal sets are one class (128-bit digest), represented by its smallest id.
+    1. Minima and band keys per document (40 × 6: a pair at 0.8 shares no band with a chance of 5e-6); equal sets are one class (128-bit digest), represented by its smallest id.
     2. In each bucket every member is compared with the bucket's smallest id only: a star, not all pairs.
     3. Pairs pass the signature check, then the exact check on full texts; components by large-star and small-star.
     4. In buckets that still hold more than one component, members that agree by signature with one of another component
@@ -179,8 +186,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     own: list[str] = []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    limit = percent / 100 - SLACK
-    sigs = settled(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
+    scheme = Scheme(bands, rows, percent / 100)
+    sigs = settled(docs.mapInArrow(_signatures(width, scheme), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
     digest = ["n_shingles", "d1", "d2"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = settled(full.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
@@ -192,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = settled(buckets.where("a <> z").drop("z"), "buckets", own)
     inside = settled(members.join(buckets, "key").select("key", "doc_id", "a", "n"), "inside", own)
     pairs = inside.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _verified(pairs, core, docs, width, percent, own)
+    links = _verified(pairs, core, docs, width, percent, scheme.limit, own)
     comps = connected_components(links.toDF("u", "v"), own)
 
     named = inside.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -204,9 +211,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component", "tiny")
     kinds = "key long, x int, y int, block int, doc_id long, component long, tiny binary"
-    rest = settled(rest.groupBy("key", "x", "y").applyInPandas(_open_members(limit), kinds), "open", own)
+    rest = settled(rest.groupBy("key", "x", "y").applyInPandas(_open_members(scheme.limit), kinds), "open", own)
     sets = only_members(docs, rest.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, own binary")
-    more = rest.join(sets, "doc_id").groupBy("key", "x", "y").applyInPandas(_across(limit, percent), "a long, b long")
+    more = rest.join(sets, "doc_id").groupBy("key", "x", "y").applyInPandas(_across(scheme.limit, percent), "a long, b long")
     more = settled(more.distinct(), "across", own)
     found = comps.toDF("u", "v").union(more.toDF("u", "v"))
     final = connected_components(found) if not more.isEmpty() else settled(comps, "components")

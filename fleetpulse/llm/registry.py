@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import contamination, minhash_dedup, packing, token_counts, toxicity, url_filter, wavelet
+from fleetpulse.llm import contamination, minhash_dedup, packing, paragraph_dedup, token_counts, toxicity, url_filter, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +104,10 @@ WHERE coalesce(consistency, 1.0) >= {share}"""
 @query("op4_template_decontamination", _contamination_sql())
 def op4(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_paragraph_dedup")
+def op10(spark, sf_dir):
+    found = paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.octet_length("text").cast("long").alias("bytes_left"),
+                        F.sha2("text", 256).alias("left_sha256"), "removed")
