@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import contamination, minhash_dedup, packing, paragraph_dedup, token_counts, toxicity, url_filter, wavelet
+from fleetpulse.llm import contamination, minhash_dedup, packing, paragraph_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +111,19 @@ def op10(spark, sf_dir):
     found = paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.octet_length("text").cast("long").alias("bytes_left"),
                         F.sha2("text", 256).alias("left_sha256"), "removed")
+
+
+@query("op6_sorted_projection_dedup", """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE u = e.vec_id) AS n_links, min(r.w) AS component_id, min(r.w) = e.vec_id AS kept
+FROM embeddings e JOIN reach r ON r.u = e.vec_id GROUP BY e.vec_id
+""")
+def op6(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
