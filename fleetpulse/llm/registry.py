@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import contamination, minhash_dedup, packing, paragraph_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
+from fleetpulse.llm import contamination, minhash_dedup, packing, paragraph_dedup, suffix_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +127,8 @@ FROM embeddings e JOIN reach r ON r.u = e.vec_id GROUP BY e.vec_id
 """)
 def op6(spark, sf_dir):
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return suffix_dedup.byte_report(table(spark, sf_dir, "documents"), length=400)
