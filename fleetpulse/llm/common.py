@@ -148,14 +148,9 @@ def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
 
-def only_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose `column` (long) is in the one-column table `ids`, with those ids' rows alone entering the shuffle.
-
-    A filter of fixed size (FILTER_BITS) is made from the ids in Spark and sent to the tasks; what passes it by chance
-    falls out in the join behind it. With very many ids it fills up and only the join works.
-    """
+def member_sides(rows: DataFrame, ids: DataFrame, column: str):
+    """`side(True)` are the rows that may be among the ids, `side(False)` those that cannot be."""
     spark = rows.sparkSession
-    name = ids.columns[0]
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,15 +166,34 @@ def only_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     full[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     sent = spark.sparkContext.broadcast(full)
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(column)
-            word, bit = _bits(values.fill_null(0).to_numpy(zero_copy_only=False))
-            hit = ((sent.value[word] & bit) != 0).reshape(2, -1).all(axis=0) & values.is_valid().to_numpy(zero_copy_only=False)
-            if hit.any():
-                yield batch.filter(pa.array(hit))
+    def side(inside: bool) -> DataFrame:
+        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(column)
+                word, bit = _bits(values.fill_null(0).to_numpy(zero_copy_only=False))
+                hit = ((sent.value[word] & bit) != 0).reshape(2, -1).all(axis=0) & values.is_valid().to_numpy(zero_copy_only=False)
+                if (hit == inside).any():
+                    yield batch.filter(pa.array(hit == inside))
+        return rows.mapInArrow(passing, rows.schema)
+
+    return side
+
+
+def only_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` (long) is in the one-column table `ids`; other rows hardly enter the shuffle.
+
+    A filter of fixed size (FILTER_BITS) is made from the ids in Spark and sent to the tasks; what passes it by chance
+    falls out in the join behind it. With very many ids it fills up and only the join works.
+    """
+    ids = ids.withColumnRenamed(ids.columns[0], column)
+    return member_sides(rows, ids, column)(True).join(ids.distinct(), column, "left_semi").select(*rows.columns)
+
 
-    return rows.mapInArrow(passing, rows.schema).join(ids.withColumnRenamed(name, column).distinct(), column, "left_semi")
+def without_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` (long) is null or not in `ids`; only those that the filter holds for possible enter the shuffle."""
+    ids = ids.withColumnRenamed(ids.columns[0], column)
+    side = member_sides(rows, ids, column)
+    return side(False).union(side(True).join(ids.distinct(), column, "left_anti").select(*rows.columns))
 
 
 def connected_components(edges: DataFrame, keep: list | None = None, max_rounds: int = 60) -> DataFrame:
