@@ -338,11 +338,10 @@ def byte_report(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """All rows and columns of `docs` with the repeated bytes taken out of `text`; a character cut in two leaves U+FFFD."""
-    found = repeated_bytes(docs, length).select("doc_id", "k", F.expr("decode(kept, 'UTF-8')").alias("__left"))
+    found = repeated_bytes(docs, length).select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.expr("decode(kept, 'UTF-8')").alias("__left"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__key", F.xxhash64(text, F.col("doc_id").cast("long")))
-    side = member_sides(keyed, found.select("k"), "__key")
-    found = found.withColumnRenamed("doc_id", "__d")
-    hit = side(True).join(found, (F.col("__key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    side = member_sides(keyed, found.select("__k"), "__key")
+    hit = side(True).join(found, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     hit = hit.select(*[F.coalesce("__left", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     return side(False).select(*docs.columns).union(hit)
