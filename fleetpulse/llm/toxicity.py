@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import _BYTE, _powers, by_bytes, mix, text_buffers
 
-TRAIN_DOCS = 1500           # labelled documents of each class that the model is fitted on
-ROUNDS = 30
+TRAIN_DOCS = 600           # labelled documents of each class that the model is fitted on
+ROUNDS = 20
 TABLE = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -109,71 +109,94 @@ def marginals(score: np.ndarray, first: np.ndarray, chain: np.ndarray, pairs: bo
     return one, (joint / joint.sum(axis=0)).sum(axis=1), float(one[begin].sum())
 
 
-def token_labels(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Labelled tokens from labelled documents: in a toxic document the tokens whose word or beginning stands in at least
-    two toxic documents and far oftener there than elsewhere; if no document has one, each one's most telling token."""
+def feature_slots(feats: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 1 for the features that stand in at least two documents, 0 for all others; and their hashes."""
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    slots, names, used = np.zeros(feats.shape, np.int32), [], 0
+    for row, out in zip(feats, slots):
+        order = np.argsort(row, kind="stable")
+        new = np.concatenate(([True], row[order][1:] != row[order][:-1]))
+        head = np.flatnonzero(new)
+        owner = doc[order]
+        keep = (np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)) & (row[order][head] != 0)
+        number = np.where(keep, used + np.cumsum(keep), 0).astype(np.int32)
+        out[order] = np.repeat(number, np.diff(np.append(head, len(row))))
+        names.append(row[order][head][keep])
+        used += int(keep.sum())
+    return slots, np.concatenate(names)
+
+
+def token_labels(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Labelled tokens from labelled documents: in a toxic document the tokens whose word or beginning stands in several
+    toxic documents and far oftener there than elsewhere; if no document has one, each one's most telling token.
+
+    Documents count as often as the word before (`context`) differs, so copies of one toxic text do not make all its
+    words suspect; the gain in likelihood over an even spread must outweigh the number of features looked at."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-    best = np.full(feats.shape[1], -np.inf)
-    sure = np.zeros(feats.shape[1], bool)
+    best = np.full(slots.shape[1], -np.inf)
+    sure = np.zeros(slots.shape[1], bool)
     n1, n0 = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
-    for row in feats[:3]:
-        names, at = np.unique(row, return_inverse=True)
-        seen = np.unique(at.astype(np.int64) * len(toxic) + doc)
+    for row in slots[:3]:
+        seen = np.unique(row.astype(np.int64) * len(toxic) + doc)
         name, owner = seen // len(toxic), seen % len(toxic)
-        in1 = np.bincount(name, toxic[owner], len(names))
-        in0 = np.bincount(name, 1 - toxic[owner], len(names))
+        in1 = np.bincount(name, toxic[owner], int(row.max()) + 1)
+        in0 = np.bincount(name, 1 - toxic[owner], int(row.max()) + 1)
+        own = toxic[doc] > 0
+        pairs = np.unique(row[own].astype(np.int64) << 32 | context[own].astype(np.int64))
+        in1 = np.minimum(in1, np.bincount(pairs >> 32, minlength=len(in1)))
         odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-        best = np.maximum(best, odds[at])
-        sure |= ((in1 >= 2) & (odds > np.log(4) + np.log1p(4 / np.maximum(in1, 1))))[at]
+        best = np.maximum(best, odds[row])
+        both, share = np.maximum(in1 + in0, 1), n1 / (n1 + n0)
+        gain = in1 * np.log(np.maximum(in1, 1) / (both * share)) + in0 * np.log(np.maximum(in0, 1) / (both * (1 - share)))
+        sure |= ((odds > np.log(4)) & (gain > np.log(len(in1)) - 2))[row] & (row > 0)
     label = sure & (toxic[doc] > 0)
     if not label.any():
         for k in np.flatnonzero((toxic > 0) & (np.diff(first) > 0)):
             label[first[k] + int(best[first[k] : first[k + 1]].argmax())] = True
-    return label.astype(float)
+    return label
 
 
-def fit_labelled(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> dict:
+def fit_labelled(slots: np.ndarray, context: np.ndarray, first: np.ndarray, toxic: np.ndarray, names: np.ndarray) -> dict:
     """The chain from labelled documents; toxic ones in which no token could be labelled teach it nothing."""
-    label = token_labels(feats, first, toxic)
+    label = token_labels(slots, first, toxic, context)
     has = np.bincount(np.repeat(np.arange(len(toxic)), np.diff(first)), label, len(toxic)) > 0
     used = np.flatnonzero((toxic == 0) | has)
-    own, cut = _subset(feats, first, used)
-    return _table(fit_chain(own, cut, _subset(label[None], first, used)[0][0]))
-
-
-def fit_chain(feats: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict:
-    """Maximum conditional likelihood with an L2 penalty by full-batch Adam; features of one document alone get no weight."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    names, at = np.unique(feats, return_inverse=True)
-    at = at.reshape(feats.shape)
-    low = np.full(len(names), len(first), np.int64)
-    high = np.full(len(names), -1, np.int64)
-    for row in at:
-        np.minimum.at(low, row, doc)
-        np.maximum.at(high, row, doc)
-    keep = (high > low) & (names != 0)
-    slot = np.where(keep, np.cumsum(keep), 0)
-    at, names = slot[at], names[keep]
-    theta = np.zeros(len(names) + 1 + 6)      # slot 0 stands for every other feature; then bias, start, transitions
-    theta[-6] = -3.0
+    own, cut = _subset(slots, first, used)
+    return _table(fit_chain(own, cut, _subset(label[None], first, used)[0][0].astype(float), names))
+
+
+def fit_chain(slots: np.ndarray, first: np.ndarray, label: np.ndarray, names: np.ndarray, piece: int = 1 << 18) -> dict:
+    """Maximum conditional likelihood with an L2 penalty by full-batch Adam; the gradient is summed over pieces of whole
+    documents, so memory follows the largest piece."""
     size = len(names) + 1
+    theta = np.zeros(size + 6)                # slot 0 stands for every other feature; then bias, start, transitions
+    theta[-6] = -3.0
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    begin = first[:-1][np.diff(first) > 0]
-    inner = np.setdiff1d(np.arange(len(label)), begin, assume_unique=True)
-    y = label.astype(int)
-    edges = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)[:4] if len(inner) else np.zeros(4)
+    cuts = [0]
+    while cuts[-1] < len(first) - 1:
+        cuts.append(max(int(np.searchsorted(first, first[cuts[-1]] + piece, "right")) - 1, cuts[-1] + 1))
     n = max(len(label), 1)
     for k in range(1, ROUNDS + 1):
-        score = theta[at].sum(axis=0) + theta[-6]
-        one, joint, starts = marginals(score, first, theta[-5:], pairs=True)
-        gap = one - label
         grad = np.zeros_like(theta)
-        for row in at:
-            grad[:size] += np.bincount(row, gap, size)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part, y, local = slots[:, first[a] : first[b]], label[first[a] : first[b]], first[a : b + 1] - first[a]
+            if not len(y):
+                continue
+            score = np.full(len(y), theta[-6])
+            for row in part:
+                score += theta[row]
+            one, joint, starts = marginals(score, local, theta[-5:], pairs=True)
+            for row in part:
+                grad[:size] += np.bincount(row, one - y, size)
+            begin = local[:-1][np.diff(local) > 0]
+            inner = np.ones(len(y), bool)
+            inner[begin] = False
+            inner = np.flatnonzero(inner)
+            whole = y.astype(int)
+            grad[-6] += (one - y).sum()
+            grad[-5] += starts - y[begin].sum()
+            grad[-4:] += joint - np.bincount(2 * whole[inner - 1] + whole[inner], minlength=4)[:4]
         grad[0] = 0
-        grad[-6] = gap.sum()
-        grad[-5] = starts - label[begin].sum()
-        grad[-4:] = joint - edges
         grad += 0.05 * theta * (np.arange(len(theta)) < size)
         mean, var = 0.9 * mean + 0.1 * grad / n, 0.999 * var + 0.001 * (grad / n) ** 2
         theta -= 0.4 * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.999**k)) + 1e-9)
@@ -234,45 +257,60 @@ def train(texts: list[str | None], toxic: list[int], weights: list[float]) -> di
     if not len(toxic_) or toxic_.min() == toxic_.max():
         share = float(toxic_[0]) if len(toxic_) else 0.0
         return {"constant": min(max(share, 0.01), 0.99)}
-    raw, offsets = text_buffers(pa.array(texts, pa.string()))
-    starts, ends, first = tokens(raw, offsets)
-    feats = features(raw, starts, ends, first)
+    pieces = [tokenized(part) for part in _pieces(texts)]
+    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[4]) for p in pieces]))))
+    feats = np.concatenate([features(p[0], *p[2:]) for p in pieces], axis=1)
+    slots, names = feature_slots(feats, first)
+    context = (feats[4] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    del feats, pieces
     fold = np.arange(len(toxic_)) % 2
     x = np.empty((2, len(toxic_)))
     for side in (0, 1):
         fit, held = np.flatnonzero(fold != side), np.flatnonzero(fold == side)
-        own, cut = _subset(feats, first, fit)
-        part = fit_labelled(own, cut, toxic_[fit])
-        own, cut = _subset(feats, first, held)
-        one = marginals(_scored(own, part), cut, part["chain"])
-        x[:, held] = document_features(one if len(cut) > 1 and cut[-1] else np.zeros(0), cut)
-    model = fit_labelled(feats, first, toxic_)
+        own, cut = _subset(slots, first, fit)
+        part = fit_labelled(own, _subset(context[None], first, fit)[0][0], cut, toxic_[fit], names)
+        x[:, held] = np.concatenate([_document(piece, part)[0] for piece in _pieces([texts[k] for k in held])], axis=1)
+    model = fit_labelled(slots, context, first, toxic_, names)
     return model | {"document": _logistic(x, toxic_, weights_)}
 
 
+def _pieces(texts: list) -> Iterator[pa.Array]:
+    """A list of texts as arrays of about a megabyte."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return (part.column(0) for part in by_bytes([batch], "text"))
+
+
+def tokenized(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """raw, offsets, starts, ends, first of an array of texts."""
+    raw, offsets = text_buffers(texts)
+    return (raw, offsets, *tokens(raw, offsets))
+
+
+def _document(texts: pa.Array, table: dict) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Document features, token marginals and tokens of an array of texts."""
+    raw, offsets, starts, ends, first = tokenized(texts)
+    one = marginals(_scored(features(raw, starts, ends, first), table), first, table["chain"]) if len(starts) else np.zeros(0)
+    return document_features(one, first), one, (raw, offsets, starts, ends, first)
+
+
 def judge(texts: pa.Array, model: dict) -> tuple[np.ndarray, list]:
     """Scores of whole texts and their toxic spans [start, end) in characters (tokens of marginal ≥ 0.5, neighbours joined)."""
-    raw, offsets = text_buffers(texts)
-    n = len(offsets) - 1
+    n = len(texts)
     if "constant" in model:
         return np.full(n, model["constant"]), [[] for _ in range(n)]
-    starts, ends, first = tokens(raw, offsets)
+    x, one, (raw, offsets, starts, ends, first) = _document(texts, model)
     spans: list[list] = [[] for _ in range(n)]
-    one = np.zeros(0)
-    if len(starts):
-        one = marginals(_scored(features(raw, starts, ends, first), model), first, model["chain"])
-        hits = np.flatnonzero(one >= 0.5)
-        owner = np.searchsorted(first, hits, "right") - 1
-        last = (-1, -2)
-        for k, doc in zip(hits.tolist(), owner.tolist()):
-            whole = raw[offsets[doc] : offsets[doc + 1]].tobytes()
-            a, b = (len(whole[: z - offsets[doc]].decode("utf-8", "ignore")) for z in (starts[k], ends[k]))
-            if last == (doc, k - 1):
-                spans[doc][-1]["end"] = b
-            else:
-                spans[doc].append({"start": a, "end": b})
-            last = (doc, k)
-    x = document_features(one, first)
+    hits = np.flatnonzero(one >= 0.5)
+    owner = np.searchsorted(first, hits, "right") - 1
+    last = (-1, -2)
+    for k, doc in zip(hits.tolist(), owner.tolist()):
+        whole = raw[offsets[doc] : offsets[doc + 1]].tobytes()
+        a, b = (len(whole[: z - offsets[doc]].decode("utf-8", "ignore")) for z in (starts[k], ends[k]))
+        if last == (doc, k - 1):
+            spans[doc][-1]["end"] = b
+        else:
+            spans[doc].append({"start": a, "end": b})
+        last = (doc, k)
     b = model["document"]
     return 1 / (1 + np.exp(-np.clip(b[0] + b[1:] @ x, -30, 30))), spans
 
