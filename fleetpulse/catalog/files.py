@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetpulse.catalog.features import FUSED_CTES, FUSED_FEATURES
 from fleetpulse.catalog.ranking import LIN, RECORD_SQL, batch_records
 from fleetpulse.catalog.registry import query, r6, with_
 from fleetpulse.catalog.views import READINGS, R, readings, table
 from fleetpulse.functions.scalars import rounded
-from fleetpulse.schema import SENSORS
+from fleetpulse.plans.fused import fused_frame
+from fleetpulse.schema import SENSORS, ReadingSchema
 from fleetpulse.session import scratch_path
 from fleetpulse.sources import files as fs
 from fleetpulse.sources import registry as rg
@@ -30,9 +32,13 @@ TF = (R, ("cyc", f"SELECT *, {_UNIT} AS unit, CAST(row_number() OVER (PARTITION
 
 @query("adapt_turbofan", with_(*TF, select="SELECT TIMESTAMP '2025-01-01 00:00:00' + to_seconds(cycle) AS timestamp, concat('CMAPSS-', "
        "CASE WHEN length(CAST(unit AS VARCHAR)) < 3 THEN lpad(CAST(unit AS VARCHAR), 3, '0') ELSE CAST(unit AS VARCHAR) END) AS system_id, "
-       "unit, cycle, CASE WHEN rul <= 50 THEN 'Motor Overheating' ELSE 'Normal' END AS fault_type, "
+       "CAST(unit AS BIGINT) * 1048576 + cycle AS row_id, CASE WHEN rul <= 50 THEN 'Motor Overheating' ELSE 'Normal' END AS fault_type, "
        + ", ".join(r6(_src[fs.TURBOFAN_SENSORS[s]], s) for s in SENSORS) + " FROM life"))
 def adapt_turbofan(spark, sf_dir):
+    return rounded(fs.adapt_turbofan(spark.read.text(turbofan_text(spark, sf_dir))))
+
+
+def turbofan_text(spark, sf_dir):
     from fleetpulse.operators.ordering import positions
 
     df = positions(readings(spark, sf_dir), "system_id", ["ts", "event_id"], "cycle", "n")
@@ -40,7 +46,31 @@ def adapt_turbofan(spark, sf_dir):
                        *[F.expr(f"coalesce(CAST({e} AS STRING), 'NaN')") for e in _src.values()])
     path = scratch_path(spark, "turbofan")
     df.select(text.alias("value")).write.text(path)
-    return rounded(fs.adapt_turbofan(spark.read.text(path)))
+    return path
+
+
+@query("csv_to_fused", with_(*FUSED_CTES, select="SELECT ts, system_id, fault_type, " + ", ".join(r6(n, n) for n in FUSED_FEATURES) + " FROM fused"))
+def csv_to_fused(spark, sf_dir):
+    """Readings from a CSV file without a key and with a column of its own, straight into the feature frame."""
+    df = readings(spark, sf_dir).drop("event_id").withColumn("note", F.lit("x"))
+    df = fs.read_readings_csv(spark, fs.write_table(df, scratch_path(spark, "readings-csv")), ReadingSchema(ts="ts"))
+    return rounded(fused_frame(df, ReadingSchema(ts="ts")).select("ts", "system_id", "fault_type", *FUSED_FEATURES))
+
+
+_TF = [(n.replace("readings", "src"), s.replace("FROM readings", "FROM src")) for n, s in TF]
+_TF_READINGS = ("readings", "SELECT TIMESTAMP '2025-01-01 00:00:00' + to_seconds(cycle) AS ts, CAST(unit AS BIGINT) * 1048576 + cycle AS event_id, "
+                "concat('CMAPSS-', CASE WHEN length(CAST(unit AS VARCHAR)) < 3 THEN lpad(CAST(unit AS VARCHAR), 3, '0') ELSE CAST(unit AS VARCHAR) END) "
+                "AS system_id, CASE WHEN rul <= 50 THEN 'Motor Overheating' ELSE 'Normal' END AS fault_type, "
+                + ", ".join(f"{_src[fs.TURBOFAN_SENSORS[s]]} AS {s}" for s in SENSORS) + " FROM life")
+
+
+@query("turbofan_to_fused", with_(*_TF, _TF_READINGS, *[c for c in FUSED_CTES if c[0] != "readings"],
+                                  select="SELECT event_id AS row_id, ts AS timestamp, system_id, fault_type, "
+                                  + ", ".join(r6(f"{n} * 1e-6" if "energy" in n else n, n) for n in FUSED_FEATURES) + " FROM fused"))
+def turbofan_to_fused(spark, sf_dir):
+    df = fs.adapt_turbofan(spark.read.text(turbofan_text(spark, sf_dir)))
+    out = fused_frame(df, ReadingSchema()).select("row_id", "timestamp", "system_id", "fault_type", *FUSED_FEATURES)
+    return rounded(out.withColumns({n: F.col(n) * 1e-6 for n in FUSED_FEATURES if "energy" in n}))  # sums of squares near 1e8
 
 
 MACHINE = {
@@ -99,14 +129,16 @@ def read_runs(spark, sf_dir):
     return fs.read_runs(spark, path).toDF("run_id", "kind", "timestamp", "metric_user", "param_k")
 
 
-@query("append_run")
+@query("append_run", "SELECT 'train' AS kind, '7' AS models, NULL AS n_features, CAST(count(*) AS VARCHAR) AS rows FROM events "
+       "UNION ALL SELECT 'drift', NULL, '61', CAST(count(*) AS VARCHAR) FROM events")
 def append_run(spark, sf_dir):
-    """Two entries with figures of the events table, read back."""
+    """Two entries with figures of the events table, read back without their random ids."""
     path = scratch_path(spark, "runlog")
     n = table(spark, sf_dir, "events").count()
     fs.append_run(spark, path, "train", {"models": 7}, {"rows": n})
     fs.append_run(spark, path, "drift", {"n_features": 61}, {"rows": n})
-    return fs.read_runs(spark, path)
+    back = fs.read_runs(spark, path, ["rows"], ["models", "n_features"])
+    return back.select("kind", F.col("`param.models`").alias("models"), F.col("`param.n_features`").alias("n_features"), F.col("`metric.rows`").alias("rows"))
 
 
 @query("write_predictions", with_(*LIN, select=f"SELECT event_id, system_id, {RECORD_SQL} FROM rec"))

@@ -14,7 +14,7 @@ from fleetpulse.operators import attribution as at
 from fleetpulse.operators import metrics as mt
 from fleetpulse.operators import prepare as pr
 from fleetpulse.operators.counterfactual import counterfactual, top_impacted
-from fleetpulse.operators.linear import LinearModel, linear_attribution
+from fleetpulse.operators.linear import LinearModel, linear_attribution, linear_attribution_row
 from fleetpulse.plans import scoring as sc
 
 FEATURES = ["motor_temperature", "battery_level", "voltage", "current", "vibration_x", "gps_accuracy",
@@ -137,7 +137,11 @@ def top_importance(spark, sf_dir):
 
 
 def of_prediction(spark, sf_dir):
-    return attributions(spark, sf_dir).where("class = predicted_fault").drop("class")
+    """One row per prediction with the contributions to its predicted class in an array."""
+    df = linear_scored(spark, sf_dir)
+    top = argmax(F.col("probs"))
+    return linear_attribution_row(df.withColumn("predicted_fault", name_at(CLASSES, top)), MODEL, top, ["event_id", "predicted_fault"],
+                                  means=features_z(spark, sf_dir))
 
 
 RANKED = ("ranked", "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(phi) DESC, feature) AS rank FROM attr "
@@ -147,7 +151,7 @@ RANKED = ("ranked", "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY
 @query("top_contributions", with_(*ATTR, RANKED, select="SELECT event_id, predicted_fault, feature, CAST(rank AS INTEGER) AS rank, "
        + r6("phi", "phi") + ", CASE WHEN phi >= 0 THEN 'Toward' ELSE 'Against' END AS direction FROM ranked WHERE rank <= 5"))
 def top_contributions(spark, sf_dir):
-    top = at.top_contributions(of_prediction(spark, sf_dir), ["event_id", "predicted_fault"], 5)
+    top = of_prediction(spark, sf_dir).select("event_id", "predicted_fault", F.inline(at.top_of_row(F.col("entries"), 5)))
     return rounded(top.select("event_id", "predicted_fault", "feature", "rank", "phi", "direction"))
 
 
@@ -158,7 +162,7 @@ def top_contributions(spark, sf_dir):
     + r6("base_value", "base_value") + ", " + r6("base_value + sum(phi) OVER (PARTITION BY event_id ORDER BY slot DESC)", "cumulative")
     + " FROM bars WHERE NOT (slot = 6 AND phi = 0) WINDOW w AS (PARTITION BY event_id ORDER BY slot DESC)")))
 def waterfall(spark, sf_dir):
-    return rounded(at.waterfall(of_prediction(spark, sf_dir), ["event_id"], 5))
+    return rounded(of_prediction(spark, sf_dir).select("event_id", F.inline(at.waterfall_of_row(F.col("entries"), F.col("base_value"), 5))))
 
 
 STEP, ROUNDS = 0.3, 3

@@ -13,8 +13,9 @@ from fleetpulse.catalog.registry import query, r6, with_
 from fleetpulse.catalog.views import CLASSES, READINGS, R, as_readings, drift_sides, readings
 from fleetpulse.functions.lookups import lookup_table
 from fleetpulse.functions.scalars import rounded
+from fleetpulse.operators.features import vector_magnitude
 from fleetpulse.operators.linear import LinearModel
-from fleetpulse.schema import SENSORS
+from fleetpulse.schema import ROLLING_SENSORS, SENSORS
 from fleetpulse.streaming import jobs
 
 # scales fitted elsewhere and fixed here: a stream has no whole-table statistics; missing readings count as 0
@@ -66,24 +67,24 @@ def stream_latest_alarms(spark, sf_dir):
 
 
 @query("stream_recent_readings", with_(R, select="SELECT system_id, ts, event_id, speed FROM (SELECT *, row_number() OVER "
-       "(PARTITION BY system_id ORDER BY ts DESC, event_id DESC) AS rn FROM readings) t WHERE rn <= 20"))
+       "(PARTITION BY system_id ORDER BY ts DESC, event_id DESC) AS rn FROM readings) t WHERE rn <= 120"))
 def stream_recent_readings(spark, sf_dir):
     stream = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = jobs.run_to_table(jobs.recent_stream(stream, READINGS, ["speed"], 20), "recent", "update")
+    out = jobs.run_to_table(jobs.recent_stream(stream, READINGS, ["speed"], jobs.LIVE_ROWS), "recent", "update")
     # the newest emission of a system replaces the older ones
     last = out.groupBy("system_id").agg(F.max("batch").alias("batch"))
     return out.join(last, ["system_id", "batch"]).drop("batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-ROLLED = [f"{s}_{stat}_w10" for s in ("motor_temperature", "battery_level", "speed") for stat in ROLL]
+ROLLED = [f"{s}_{stat}_w10" for s in ROLLING_SENSORS for stat in ROLL]
 
 
-@query("stream_rolling_features", with_(R, select="SELECT event_id, system_id, " + ", ".join(
-    r6(ROLL[stat].format(s), f"{s}_{stat}_w10") for s in ("motor_temperature", "battery_level", "speed") for stat in ROLL)
-    + f" FROM readings {WINDOWS}"))
+@query("stream_rolling_features", with_(R, ("mag", "SELECT *, sqrt(vibration_x * vibration_x + vibration_y * vibration_y + vibration_z * vibration_z) "
+       "AS vibration_magnitude FROM readings"), select="SELECT event_id, system_id, " + ", ".join(
+    r6(ROLL[stat].format(s), f"{s}_{stat}_w10") for s in ROLLING_SENSORS for stat in ROLL) + f" FROM mag {WINDOWS}"))
 def stream_rolling_features(spark, sf_dir):
     stream = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    rolled = jobs.rolling_stream(stream, READINGS, 10, ["motor_temperature", "battery_level", "speed"])
+    rolled = jobs.rolling_stream(vector_magnitude(stream), READINGS, 10)
     return rounded(jobs.run_to_table(rolled, "rolling").select("event_id", "system_id", *ROLLED))
 
 

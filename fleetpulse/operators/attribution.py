@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.scalars import let
 from fleetpulse.operators.prepare import random_sample
 
 
@@ -69,6 +70,37 @@ def _by_size(keys: Sequence[str]):
     return W.partitionBy(*keys).orderBy(F.desc(F.abs("phi")), "feature")
 
 
+def _sized(entries: Column) -> Column:
+    """Contributions of one prediction (structs of feature, value, phi), largest first."""
+    return F.array_sort(F.transform(entries, lambda e: F.struct(
+        (-F.abs(e["phi"])).alias("size"), e["feature"].alias("feature"), e["value"].alias("value"), e["phi"].alias("phi"))))
+
+
+def top_of_row(entries: Column, k: int) -> Column:
+    """`top_contributions` where all of a prediction stands in one array: no exchange."""
+    return F.transform(F.slice(_sized(entries), 1, k), lambda e, i: F.struct(
+        (i + 1).alias("rank"), e["feature"].alias("feature"), e["value"].alias("value"), e["phi"].alias("phi"),
+        F.when(e["phi"] >= 0, "Toward").otherwise("Against").alias("direction")))
+
+
+def waterfall_of_row(entries: Column, base: Column, k: int) -> Column:
+    """`waterfall` where all of a prediction stands in one array: structs (position, feature, value, phi, base_value, cumulative)."""
+    def bars(sized: Column) -> Column:
+        size = F.size(sized) - k
+        total = F.aggregate(F.slice(sized, k + 1, F.greatest(size, F.lit(0))), F.lit(0.0), lambda a, e: a + e["phi"])
+        other = F.struct(F.concat(F.lit("Other ("), size.cast("string"), F.lit(")")).alias("feature"), F.lit(None).cast("double").alias("value"), total.alias("phi"))
+        shown = F.transform(F.reverse(F.slice(sized, 1, k)), lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value"), e["phi"].alias("phi")))
+        return F.concat(F.filter(F.array(other), lambda o: (size > 0) & (o["phi"] != 0.0)), shown)
+
+    def placed(rows: Column) -> Column:
+        upto = lambda i: F.aggregate(F.slice(rows, 1, i + 1), base, lambda a, e: a + e["phi"])
+        return F.transform(rows, lambda e, i: F.struct(
+            (i + 1).alias("position"), e["feature"].alias("feature"), e["value"].alias("value"), e["phi"].alias("phi"),
+            base.alias("base_value"), upto(i).alias("cumulative")))
+
+    return let(let(_sized(entries), bars), placed)
+
+
 def top_contributions(contributions: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
     """The k largest contributions of each prediction and their direction."""
     ranked = contributions.withColumn("rank", F.row_number().over(_by_size(keys)))

@@ -121,10 +121,11 @@ def distinct_systems(df: DataFrame, schema: ReadingSchema) -> DataFrame:
 
 def prediction_summary(records: DataFrame) -> DataFrame:
     """Counts per fault and per risk, and the total with the mean confidence, in one pass."""
-    sets = [["predicted_fault"], ["risk_level"], []]
+    sets = [["predicted_fault"], ["risk_level"], []]   # a missing fault or risk is no class of its own
     grouped = records.groupingSets(sets, "predicted_fault", "risk_level").agg(
         F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("mean_confidence"))
     kind = F.when(F.col("__g") == 1, "fault").when(F.col("__g") == 2, "risk").otherwise("total")
+    grouped = grouped.where((F.col("__g") == 3) | F.coalesce("predicted_fault", "risk_level").isNotNull())
     return grouped.select(
         kind.alias("kind"), F.coalesce("predicted_fault", "risk_level", F.lit("all")).alias("name"), "count",
         F.when(F.col("__g") == 3, F.col("mean_confidence")).alias("mean_confidence"))

@@ -60,3 +60,17 @@ def linear_attribution(df: DataFrame, model: LinearModel, keep: Sequence[str],
                 F.lit(name).alias("class"), F.lit(f).alias("feature"), F.col(f).alias("value"),
                 (F.lit(w) * (F.col(f) - stats[f])).alias("phi"), base.alias("base_value")))
     return df.select(*keep, F.inline(F.array(*entries)))
+
+
+def linear_attribution_row(df: DataFrame, model: LinearModel, chosen: Column, keep: Sequence[str],
+                           means: DataFrame | None = None) -> DataFrame:
+    """The same for one class per row (`chosen`, its index): (…keep, entries, base_value), everything in the row itself."""
+    df = df.withColumns({"__means": (df if means is None else means).agg(
+        F.struct(*[F.avg(f).alias(f) for f in model.features]).alias("means")).scalar(), "__class": chosen})
+    of_class = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("__class"))
+    base, entries = of_class(model.intercepts), []
+    for j, f in enumerate(model.features):
+        weight, mean = of_class([w[j] for w in model.weights]), F.col("__means")[f]
+        base = base + weight * mean
+        entries.append(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), (weight * (F.col(f) - mean)).alias("phi")))
+    return df.select(*keep, F.array(*entries).alias("entries"), base.alias("base_value"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +25,24 @@ def local_session(cores: int | str = 8, app: str = "fleetpulse", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a fresh local one only where it is unset."""
+    """The folder the cluster names in `spark.checkpoint.dir`.
+
+    Where it is unset: one folder per application below the temporary folder if this machine is the whole cluster (local
+    master, as in tests), else below the user's home on the default Hadoop file system, which all executors share.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named and current is None:
         spark.sparkContext.setCheckpointDir(named)
     elif current is None:
-        named = tempfile.mkdtemp(prefix="fleetpulse-")
-        spark.sparkContext.setCheckpointDir(named)
+        context = spark.sparkContext
+        name = f"fleetpulse-{context.applicationId}-{uuid.uuid4().hex[:6]}"
+        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            named = f"file://{context._jvm.java.lang.System.getProperty('java.io.tmpdir')}/{name}"
+        else:
+            files = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+            named = f"{files.getHomeDirectory().toString()}/.sparkStaging/{name}"
+        context.setCheckpointDir(named)
     return (named or current).rstrip("/")
 
 

@@ -34,10 +34,11 @@ MACHINING_FAULTS = {
 
 
 def read_readings_csv(spark: SparkSession, path: str, schema: ReadingSchema = ReadingSchema()) -> DataFrame:
-    """CSV with a header. Unreadable timestamps and NaN become NULL.
+    """CSV with a header. Unreadable timestamps, numbers and NaN become NULL.
 
-    Known columns get their type from the schema, so that the file is read once; only unknown
-    columns cause an inference pass. Raises on fewer than two columns or no rows.
+    Known columns get their type from the schema whatever else is in the file; only unknown columns are inferred, in a
+    pass over the text. Without a tie-break column the readings get one: `row_key`. Raises on fewer than two columns
+    or no rows.
     """
     names = spark.read.option("header", True).csv(path).columns if _has_text(spark, path) else []
     if len(names) < 2:
@@ -45,18 +46,23 @@ def read_readings_csv(spark: SparkSession, path: str, schema: ReadingSchema = Re
     strings = {schema.ts, schema.system, schema.label}
     known = {*schema.sensors, schema.tie, *strings}
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nanValue", "NaN")
-    if set(names) <= known:
-        kind = lambda n: "string" if n in strings else "bigint" if n == schema.tie else "double"
-        df = reader.schema(", ".join(f"`{n}` {kind(n)}" for n in names)).csv(path)
-    else:
-        df = reader.option("inferSchema", True).csv(path)
+    guessed = dict(reader.option("inferSchema", True).csv(path).dtypes) if set(names) - known else {}
+    kind = lambda n: "string" if n in strings else "bigint" if n == schema.tie else "double" if n in known else guessed[n]
+    df = reader.schema(", ".join(f"`{n}` {kind(n)}" for n in names)).csv(path)
     if df.isEmpty():
         raise ValueError("CSV must have at least two columns and one row")
     if schema.ts in names:
         df = df.withColumn(schema.ts, F.try_to_timestamp(F.col(schema.ts).cast("string")).cast("timestamp_ntz"))
     if schema.system not in names:
         df = df.withColumn(schema.system, F.lit("SYS-01"))
-    return nan_to_null(df)
+    return nan_to_null(df if schema.tie in names else df.withColumn(schema.tie, row_key()))
+
+
+def row_key() -> Column:
+    """A tie-break for the rows of files: the row's place in its task, then a hash of its file block. Equal for equal
+    files and read settings; rows of one block keep their order."""
+    block = F.pmod(F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.lit(1 << 30))
+    return F.shiftleft(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), 30) + block
 
 
 def _has_text(spark: SparkSession, path: str) -> bool:
@@ -64,7 +70,11 @@ def _has_text(spark: SparkSession, path: str) -> bool:
 
 
 def adapt_turbofan(lines: DataFrame, healthy_cutoff: int = 50, seconds_per_cycle: float = 1.0) -> DataFrame:
-    """Whitespace-separated lines (column `value`) → labelled readings with `unit` and `cycle`. Parsing is all expressions."""
+    """Whitespace-separated lines (column `value`) → labelled readings. Parsing is all expressions.
+
+    The unit stands in system_id and the cycle in the time; neither is a column that a model could read the label from.
+    row_id is unit · 2^20 + cycle, unique in well-formed files.
+    """
     parts = F.split(F.trim("value"), r"\s+")
     wide = lines.where(F.trim("value") != "").select(parts.alias("p")).select(
         F.get("p", F.lit(0)).try_cast("double").cast("int").alias("unit"),
@@ -75,9 +85,9 @@ def adapt_turbofan(lines: DataFrame, healthy_cutoff: int = 50, seconds_per_cycle
     base = F.unix_micros(F.lit(BASE_TIME).cast("timestamp"))
     at = F.timestamp_micros(base + (F.col("cycle") * seconds_per_cycle * 1e6).cast("long")).cast("timestamp_ntz")
     return labelled.select(
-        at.alias("timestamp"), F.concat(F.lit("CMAPSS-"), F.when(F.length(unit) < 3, F.lpad(unit, 3, "0")).otherwise(unit)).alias("system_id"),
+        (F.col("unit").cast("long") * (1 << 20) + F.col("cycle")).alias("row_id"), at.alias("timestamp"), F.concat(F.lit("CMAPSS-"), F.when(F.length(unit) < 3, F.lpad(unit, 3, "0")).otherwise(unit)).alias("system_id"),
         *[(F.col(TURBOFAN_SENSORS[s]) if TURBOFAN_SENSORS[s] in labelled.columns else F.lit(0.0)).alias(s) for s in SENSORS],
-        "fault_type", "unit", "cycle")
+        "fault_type")
 
 
 def machining_label(df: DataFrame) -> Column:

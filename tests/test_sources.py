@@ -41,9 +41,17 @@ def test_turbofan_labels_last_cycles(spark):
     lines = [f"{u}  {c}   " + "  ".join(str(round(u + c * 0.1 + i, 3)) for i in range(24)) for u in (1, 2, 3) for c in range(1, 60)]
     out = fs.adapt_turbofan(spark.read.text(write(spark, [*lines, "  "])))
     assert out.count() == 177
-    one = out.where("system_id = 'CMAPSS-001'").orderBy("cycle").collect()
+    one = out.where("system_id = 'CMAPSS-001'").orderBy("row_id").collect()
     assert one[0]["fault_type"] == "Normal" and one[-1]["fault_type"] == "Motor Overheating"
     assert one[0]["motor_temperature"] == pytest.approx(1 + 0.1 + 4) and set(SENSORS) <= set(out.columns)
+    assert not {"unit", "cycle"} & set(out.columns) and out.select("row_id").distinct().count() == 177
+
+
+def test_csv_keeps_known_types_and_gets_a_key(spark):
+    path = write(spark, ["timestamp,system_id,speed,note", "2025-01-01 00:00:01,0012,1,7", "2025-01-01 00:00:02,0012,2,8"])
+    out = fs.read_readings_csv(spark, path)
+    assert dict(out.dtypes) | {"note": "int"} == dict(out.dtypes) and dict(out.dtypes)["speed"] == "double"
+    assert {r["system_id"] for r in out.collect()} == {"0012"} and out.select("row_id").distinct().count() == 2
 
 
 def test_machining_labels(spark):
