@@ -144,7 +144,7 @@ def prediction_accuracy(records: DataFrame) -> DataFrame:
 def home_summary(raw: DataFrame, n_features: int, comparison: DataFrame) -> DataFrame:
     """Rows, features, models and best model. Both sides are one row each, joined as scalars."""
     models = comparison.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.max_by("model", F.struct("f1", F.col("model"))).alias("best")).alias("m")).scalar()
+        F.count(F.lit(1)).alias("n"), F.min_by("model", F.struct(-F.col("f1"), F.col("model"))).alias("best")).alias("m")).scalar()
     return raw.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows", F.lit(n_features).cast("long").alias("fused_features"),
         models["n"].alias("n_models"), models["best"].alias("best_model"))

@@ -22,6 +22,7 @@ from fleetpulse.plans.scoring import alarms, prediction_records
 from fleetpulse.schema import ROLLING_SENSORS, ReadingSchema, rolling_columns
 from fleetpulse.session import scratch_path
 
+# Sensors and length of the live view.
 LIVE_SENSORS = ("motor_temperature", "battery_level", "voltage", "current", "vibration_x", "vibration_y",
                 "vibration_z", "gps_accuracy", "signal_strength", "speed")
 LIVE_ROWS = 120
