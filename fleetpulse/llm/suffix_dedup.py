@@ -338,7 +338,7 @@ def byte_report(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """All rows and columns of `docs` with the repeated bytes taken out of `text`; a character cut in two leaves U+FFFD."""
-    found = repeated_bytes(docs, length).select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.expr("decode(kept, 'UTF-8')").alias("__left"))
+    found = repeated_bytes(docs, length).select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.make_valid_utf8(F.col("kept").cast("string")).alias("__left"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__key", F.xxhash64(text, F.col("doc_id").cast("long")))
     side = member_sides(keyed, found.select("__k"), "__key")

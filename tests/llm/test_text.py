@@ -147,3 +147,11 @@ def test_repeated_bytes_odd(odd, none):
     sums = {(r.doc_id, r.kept_sha256) for r in got}
     assert {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept.collect()} == sums
     assert suffix_dedup.byte_report(none).collect() == [] and suffix_dedup.without_repeats(none).collect() == []
+
+
+def test_cut_characters_leave_valid_text(spark):
+    """Strings that end inside a two-byte character: the rest of it becomes U+FFFD, the text stays valid."""
+    shared = "shared words of forty bytes and then some é"
+    docs = spark.createDataFrame([(1, "first " + shared), (2, "other " + shared[:-1] + "è ")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs, 40).collect()}
+    assert got[1] == "first�" and got[2] == "other� "
