@@ -14,7 +14,7 @@ from fleetpulse.llm.common import _BACK, _STEP, by_bytes, drop_tables, member_si
 from fleetpulse.llm.suffix_sort import SuffixSorter
 
 GRAM = 16                   # bytes that choose an anchor
-SHARD_SYMBOLS = 1 << 21     # strings that are sorted together, unless one group alone is larger
+SHARD_SYMBOLS = 1 << 20     # strings that are sorted together, unless one group alone is larger
 CODE = 3                    # symbols that stand for a group's common core in a shard's text
 HOT_CONTEXTS = 200_000      # distinct contexts of one core that are sorted in one task; of more, single windows are counted
 
