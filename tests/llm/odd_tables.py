@@ -1,22 +1,6 @@
-import os
-import sys
-
+"""Tables with every oddity that the operators must bear; imported as fixtures."""
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from fleetpulse.session import local_session
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
-    session = local_session(8, "fleetpulse-llm-tests")
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-
-
 LONG = "word salad with many parts " * 4000
 
 

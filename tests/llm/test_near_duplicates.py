@@ -11,6 +11,7 @@ from fleetpulse.llm import paragraph_dedup
 from fleetpulse.llm.common import connected_components
 from fleetpulse.llm.minhash_dedup import near_duplicates
 from fleetpulse.llm.vector_dedup import near_vectors
+from odd_tables import none, odd  # noqa: F401
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 

@@ -8,6 +8,7 @@ import pytest
 
 from fleetpulse.llm import contamination, suffix_dedup, suffix_sort, toxicity, url_filter
 from fleetpulse.llm.registry import RULES
+from odd_tables import none, odd  # noqa: F401
 
 
 def test_chain_equals_enumeration():

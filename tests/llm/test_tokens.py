@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from fleetpulse.llm import packing, token_counts, wavelet
 from fleetpulse.llm.tokens import WordEncoder
+from odd_tables import none, odd  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
