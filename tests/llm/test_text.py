@@ -91,6 +91,24 @@ def test_templates(spark, odd, none):
     assert contamination.contaminated(none, bench).collect() == [] and contamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_templates_of_names_and_numbers_anywhere(spark):
+    """Names at sentence starts and in two parts, numbers with separators: other values, the same template."""
+    item = "At noon Alice Brown has 12 apples. Bob has 7 more than Alice. How many apples does Bob have?"
+    other = "At noon Carol White has 30 apples. Dan has 9 more than Carol. How many apples does Dan have?"
+    price = "A shop pays 1,200 euros for 3.5 tons of corn and sells each ton for 410 euros to Eve at the market"
+    cheap = price.replace("1,200", "900").replace("3.5", "4").replace("410", "1,250.75").replace("Eve", "Max")
+    names = "Dear friends Anna, Berta, Carla, Doris, Emma and Frida met at the lake for a long swim in the cold water"
+    title = "Long Walks Along The Silver River Under Pale Autumn Skies"
+    docs = spark.createDataFrame([(1, "First. " + other + " And then?"), (2, "so " + cheap + " now"), (3, "see " + title + " there"),
+                                  (4, "see Ten Books About Old Cities And Their Long Lost Bridges there"),
+                                  (5, "so " + names.replace("Anna", "Gerda").replace("Carla", "Ines").replace("Emma", "Jutta") + " again"),
+                                  (6, "so " + other.replace("than Carol", "than Zoe").replace("does Dan", "does Alice"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, price), (3, title), (4, names)], "item_id long, text string")
+    got = {r.doc_id: r for r in contamination.contaminated(docs, bench).collect()}
+    assert {d: (r.item_id, r.kind) for d, r in got.items()} == {1: (1, "reparameterised"), 2: (2, "reparameterised"), 3: (3, "verbatim"), 5: (4, "reparameterised")}
+    assert all(r.coverage == 1.0 and r.consistency == 1.0 for r in got.values())
+
+
 @pytest.mark.parametrize("alphabet,limit,small", [(2, 3, 0), (4, 100_000, 2048), (3, 5, 2048)])
 def test_suffix_order(monkeypatch, alphabet, limit, small):
     monkeypatch.setattr(suffix_sort, "SMALL_ALPHABET", small)
