@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import drop_tables, settled
 
+GAP = 3                       # tokens put in or left out between the parts of one copy
 BROADCAST_WINDOWS = 200_000  # benchmark windows sent to every task (about 5 MB); more are joined by a shuffle
 
 #: Marks that stand before a slot's value, or alone in a template: number, unit, name; a name at a sentence start until it is a template.
@@ -62,11 +63,10 @@ def _tokens(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, words(marked(F.col("text"))).alias("raw")).select(key, "raw", _plain(F.col("raw")).alias("plain"))
 
 
-def _slots(rows: DataFrame, key: str, width: int, name: str) -> DataFrame:
-    """The windows with slots in them: (at, hash, tokens), the slots with their values."""
+def _windows(rows: DataFrame, key: str, width: int, name: str) -> DataFrame:
+    """The windows: (at, hash, tokens), the slots with their values."""
     runs = F.transform(window_hashes(F.col("raw"), F.col("plain"), width), lambda h, i: F.struct(
         i.alias("at"), h.alias("hash"), F.slice("raw", i + 1, width).alias("tokens")))
-    runs = F.filter(runs, lambda r: F.exists(r["tokens"], lambda w: w.rlike(SLOT)))
     return _tokens(rows, key).select(key, F.explode(runs).alias(name))
 
 
@@ -76,9 +76,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: f
     Texts become templates: numbers (1,200 and 3.5 are one), units behind numbers and capitalised words, also at a sentence
     start and side by side, are typed placeholders, the other words are lower-cased; windows of names alone count only in items that
     have no others, and by their words. A document holds an item if at least `share` of the item's windows of `width`
-    tokens stand in it, and its slots are consistent: along one alignment, equal values of the item stand for equal values
-    of the document, for at least `share` of the aligned windows with slots. kind is 'verbatim' if all those values are
-    the item's own, else 'reparameterised'. n_slots leaves out words at a sentence start that are the item's own. An
+    tokens stand in it, and its slots are consistent, equal values of the item standing for equal values of the document:
+    along one alignment (shifts at most GAP apart) that covers `share` of the item's windows, whatever else the document
+    holds; or, for an item in scattered parts, along its shifts one by one for `share` of all aligned windows with slots.
+    kind is 'verbatim' if all the values there are the item's own, else 'reparameterised'. n_slots leaves out words at a sentence start that are the item's own. An
     item's first token is left out.
 
     The windows of all documents are joined with the benchmark's by hash: broadcast up to BROADCAST_WINDOWS, beyond that
@@ -104,21 +105,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: f
     hits = settled(hits.select("doc_id", "item_id", "n_windows", (F.col("found") / F.col("n_windows")).alias("coverage")), "hits", own)
 
     mine = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("text").rlike(r"[0-9]|\p{Lu}\p{Ll}"))
-    mine = _slots(mine, "doc_id", width, "d")
-    theirs = _slots(items, "item_id", width, "i").where("i.at > 0")
-    met = mine.select("doc_id", "d", F.col("d.hash").alias("hash")).join(hits.select("doc_id", "item_id"), "doc_id")
-    met = met.join(theirs.withColumn("hash", F.col("i.hash")), ["item_id", "hash"])
-    met = met.select("doc_id", "item_id", (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"),
-                     F.explode(F.arrays_zip(F.col("i.tokens").alias("a"), F.col("d.tokens").alias("b"))).alias("z"))
-    met = met.where(F.col("z.a").rlike(SLOT)).select("doc_id", "item_id", "shift", "at", F.translate("z.a", LEAD, NAME).alias("a"),
-                                                     F.translate("z.b", LEAD, NAME).alias("b"), F.col("z.a").startswith(LEAD).alias("lead"))
+    mine = _windows(mine, "doc_id", width, "d")
+    theirs = _windows(items, "item_id", width, "i").where("i.at > 0")
+    theirs = theirs.withColumn("hash", F.col("i.hash")).join(probe, ["item_id", "hash"], "left_semi")
+    met = mine.select("doc_id", "d", F.col("d.hash").alias("hash")).join(hits.select("doc_id", "item_id", "n_windows"), "doc_id")
+    met = met.join(theirs, ["item_id", "hash"])
+    pairs = F.filter(F.arrays_zip(F.col("i.tokens").alias("a"), F.col("d.tokens").alias("b")), lambda z: z["a"].rlike(SLOT))
+    met = met.select("doc_id", "item_id", "n_windows", "hash", (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"),
+                     F.explode_outer(pairs).alias("z"))
+    met = met.select("doc_id", "item_id", "n_windows", "hash", "shift", "at", F.translate("z.a", LEAD, NAME).alias("a"),
+                     F.translate("z.b", LEAD, NAME).alias("b"), F.col("z.a").startswith(LEAD).alias("lead"))
+    met = settled(met.distinct(), "met", own)
     filled = F.when(~F.col("lead") | (F.col("a") != F.col("b")), F.col("a"))
-    lines = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("at").alias("n"), F.count_distinct("a").alias("values"), F.count_distinct("a", "b").alias("maps"),
-        F.count_distinct(filled).alias("slots"), F.min(F.col("a") == F.col("b")).alias("same"))
+    told = [F.count_distinct("a").alias("values"), F.count_distinct("a", "b").alias("maps"), F.count_distinct(filled).alias("slots"),
+            F.min(F.col("a") == F.col("b")).alias("same")]
+    lines = met.where("a is not null").groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("n"), *told)
     slots = lines.groupBy("doc_id", "item_id").agg(
         F.max("slots").alias("n_slots"), (F.sum(F.when(F.col("values") == F.col("maps"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"),
         F.max("same").alias("same"))
+    spans = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(k).alias("back")) for g in range(GAP + 1) for k in range(g + 1)])
+    whole = met.withColumn("s", F.explode(spans)).withColumn("first", F.col("shift") - F.col("s.back"))
+    whole = whole.groupBy("doc_id", "item_id", "n_windows", "s.gap", "first").agg(F.count_distinct("hash").alias("covered"), *told)
+    whole = whole.where((F.col("covered") >= F.lit(share) * F.col("n_windows")) & (F.col("values") == F.col("maps")))
+    whole = whole.groupBy("doc_id", "item_id").agg(F.max(F.coalesce("same", F.lit(True))).alias("as_is"))
+    slots = slots.join(whole, ["doc_id", "item_id"], "left").withColumn("consistency", F.when(F.col("as_is").isNotNull(), 1.0).otherwise(F.col("consistency")))
+    slots = slots.withColumn("same", F.coalesce("as_is", "same")).drop("as_is")
     out = hits.join(slots, ["doc_id", "item_id"], "left")
     out = out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
                      F.coalesce("consistency", F.lit(1.0)).alias("consistency"),

@@ -109,6 +109,17 @@ def test_templates_of_names_and_numbers_anywhere(spark):
     assert all(r.coverage == 1.0 and r.consistency == 1.0 for r in got.values())
 
 
+def test_copy_beside_inconsistent_siblings(spark):
+    """A copy counts by its own alignment, also with a word put in; siblings with other values beside it take nothing away."""
+    item = "so the baker sold 12 loaves to the inn and kept 12 rolls for the mill while 12 more loaves went to the old bridge"
+    values = iter(range(50, 99))
+    sheet = ". ".join("then " + "".join(str(next(values)) if w == "12" else w for w in item.replace(" ", "| |").split("|")) for _ in range(4))
+    docs = spark.createDataFrame([(1, sheet + ". " + item + ". " + sheet), (2, sheet), (3, sheet + ". " + item.replace("12", "77")),
+                                  (4, sheet + ". " + item.replace("for the mill", "for the new mill"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in contamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {d: (r.kind, r.consistency) for d, r in got.items()} == {1: ("verbatim", 1.0), 3: ("reparameterised", 1.0), 4: ("verbatim", 1.0)}
+
+
 @pytest.mark.parametrize("alphabet,limit,small", [(2, 3, 0), (4, 100_000, 2048), (3, 5, 2048)])
 def test_suffix_order(monkeypatch, alphabet, limit, small):
     monkeypatch.setattr(suffix_sort, "SMALL_ALPHABET", small)
