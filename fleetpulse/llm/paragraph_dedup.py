@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.common import by_bytes, drop_tables, mix, settled, text_buffers, word_hashes, word_spans
 from fleetpulse.llm.minhash_dedup import near_duplicates
 
-MIN_WORDS = 30              # a removed paragraph or run of sentences has at least as many words
+MIN_WORDS = 5               # a removed paragraph or run of sentences has at least as many words: one shingle
 SENTENCE_WORDS = 5          # shorter sentences are no evidence; a run goes over them
 BANDS, ROWS = 16, 6         # a pair of paragraphs at Jaccard 0.85 shares no band with a chance of 5e-4, at 0.8 of 8e-3
 MOST_LINES = 1 << 20        # paragraphs of one document that have an id of their own
@@ -110,7 +110,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, percent: int = 80
     """Documents of `docs` (doc_id, text) that lose something: doc_id, removed (byte spans), text (what is left).
 
     Of each group of repeated paragraphs the first stays, by doc_id and place; the others are removed:
-    * paragraphs (between line breaks, at least `least` words) whose sets of `width`-word shingles have a Jaccard
+    * paragraphs (between line breaks, at least `least` words, by default all that have a shingle) whose sets of `width`-word shingles have a Jaccard
       similarity of at least `percent` / 100, found by banding, verified on full sets, grouped by components;
     * runs of sentences, each at least SENTENCE_WORDS words and equal to an earlier one, of `least` words together: the
       passages that stand inside other paragraphs, where a paragraph's set says nothing.

@@ -116,3 +116,12 @@ def test_paragraphs(spark, odd, none):
     kept = paragraph_dedup.without_repeats(odd.dropDuplicates(["doc_id"]))
     assert kept.columns == odd.columns and kept.count() == 13
     assert paragraph_dedup.repeated_passages(none).collect() == []
+
+
+def test_short_paragraphs(spark):
+    """Lines from one shingle on take part: boilerplate, near copies of short lines, sentences of five words."""
+    near = "all rights of this work are kept by those who wrote it in the year of the first print and nobody else has any right to it at all"
+    rows = [(1, "alpha one\nread the terms of use\nbeta"), (2, "gamma\nRead the  terms of use"), (3, near), (4, "delta\n" + near + " now"),
+            (5, "epsilon zeta eta. We write to you today. theta"), (6, "iota kappa. We write to you today. lambda mu"), (7, "four words are few"), (8, "four words are few")]
+    got = {r.doc_id: r.text for r in paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: "gamma\n", 4: "delta\n", 6: "iota kappa.  lambda mu"}
