@@ -48,7 +48,19 @@ class Scheme:
         return key.view(np.int64)
 
 
-def _signatures(width: int, scheme: Scheme):
+def _keys(own: np.ndarray, low: np.ndarray, scheme: Scheme, percent: int, short: int) -> np.ndarray:
+    """Bucket keys of a set. Of two sets of m elements or more that are alike, each has one of the common ones among its
+    m - ceil(m·percent/100) + 1 smallest: keys without a chance of loss for sets of up to `short`, band keys beyond.
+    Sets that may be alike across that border have both."""
+    m, keys = len(own), []
+    if m * percent <= short * 100:
+        keys.append(mix(own[: m + (-percent * m // 100) + 1] ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64))
+    if m > short:
+        keys.append(scheme.keys(low))
+    return np.concatenate(keys)
+
+
+def _signatures(width: int, scheme: Scheme, percent: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             size, first, second, bands, tiny = [], [], [], [], []
@@ -57,7 +69,7 @@ def _signatures(width: int, scheme: Scheme):
                 first.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                 second.append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 low = scheme.minima(own) if len(own) else None
-                bands.append(None if low is None else scheme.keys(low))
+                bands.append(None if low is None else _keys(own, low, scheme, percent, short))
                 tiny.append(None if low is None else (low & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
@@ -174,7 +186,7 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, short: int = 0) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if the Jaccard similarity of their sets of `width`-word shingles is at least `percent` / 100;
@@ -182,6 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     and linked with nothing. component_id is the smallest doc_id reachable by links, kept marks it.
 
     1. Minima and band keys per document (40 × 6: a pair at 0.8 shares no band with a chance of 5e-6); equal sets are one class (128-bit digest), represented by its smallest id.
+       Sets of up to `short` shingles have the exact keys of `_keys` in place of bands.
     2. In each bucket every member is compared with the bucket's smallest id only: a star, not all pairs.
     3. Pairs pass the signature check, then the exact check on full texts; components by large-star and small-star.
     4. In buckets that still hold more than one component, members that agree by signature with one of another component
@@ -195,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     own: list[str] = []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scheme = Scheme(bands, rows, percent / 100)
-    sigs = settled(docs.mapInArrow(_signatures(width, scheme), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
+    sigs = settled(docs.mapInArrow(_signatures(width, scheme, percent, short), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
     digest = ["n_shingles", "d1", "d2"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = settled(full.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")

@@ -1,4 +1,4 @@
-"""Repeated passages: paragraphs by MinHash banding and exact Jaccard, sentences inside paragraphs by their digests."""
+"""Repeated passages: paragraphs by prefix keys, MinHash banding and exact Jaccard, sentences inside paragraphs by their digests."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from fleetpulse.llm.minhash_dedup import near_duplicates
 
 MIN_WORDS = 5               # a removed paragraph or run of sentences has at least as many words: one shingle
 SENTENCE_WORDS = 5          # shorter sentences are no evidence; a run goes over them
-BANDS, ROWS = 16, 6         # a pair of paragraphs at Jaccard 0.85 shares no band with a chance of 5e-4, at 0.8 of 8e-3
+BANDS, ROWS = 40, 6         # as for whole documents: a pair at Jaccard 0.8 shares no band with a chance of 5e-6
+SHORT = 160                 # paragraphs of up to so many shingles have keys that lose no pair, about a fifth of their shingles
 MOST_LINES = 1 << 20        # paragraphs of one document that have an id of their own
 
 
@@ -111,7 +112,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, percent: int = 80
 
     Of each group of repeated paragraphs the first stays, by doc_id and place; the others are removed:
     * paragraphs (between line breaks, at least `least` words, by default all that have a shingle) whose sets of `width`-word shingles have a Jaccard
-      similarity of at least `percent` / 100, found by banding, verified on full sets, grouped by components;
+      similarity of at least `percent` / 100, found by prefix keys or banding, verified on full sets, grouped by components;
     * runs of sentences, each at least SENTENCE_WORDS words and equal to an earlier one, of `least` words together: the
       passages that stand inside other paragraphs, where a paragraph's set says nothing.
 
@@ -124,7 +125,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, percent: int = 80
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     safe = F.when(F.abs("doc_id") < (1 << 42), F.col("doc_id")).otherwise(F.raise_error(F.lit("doc_id beyond 2^42")))
     lines = docs.withColumn("doc_id", safe).mapInArrow(_lines(least), "doc_id long, text string")
-    groups = near_duplicates(lines, width, percent, BANDS, ROWS)
+    groups = near_duplicates(lines, width, percent, BANDS, ROWS, SHORT)
     extra = groups.where("not kept").select(F.floor(F.col("doc_id") / MOST_LINES).cast("long").alias("doc_id"), F.pmod("doc_id", F.lit(MOST_LINES)).cast("int").alias("line"))
     extra = extra.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from fleetpulse.llm import paragraph_dedup
+from fleetpulse.llm import minhash_dedup, paragraph_dedup
 from fleetpulse.llm.common import connected_components
 from fleetpulse.llm.minhash_dedup import near_duplicates
 from fleetpulse.llm.vector_dedup import near_vectors
@@ -125,3 +125,17 @@ def test_short_paragraphs(spark):
             (5, "epsilon zeta eta. We write to you today. theta"), (6, "iota kappa. We write to you today. lambda mu"), (7, "four words are few"), (8, "four words are few")]
     got = {r.doc_id: r.text for r in paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: "gamma\n", 4: "delta\n", 6: "iota kappa.  lambda mu"}
+
+
+@pytest.mark.parametrize("n", [6, 40, 70, 150, 165, 230])
+def test_paragraph_keys_meet_at_the_threshold(n):
+    """Pairs at the threshold, also across the border of the short ones: all share a key."""
+    rng = np.random.default_rng(n)
+    scheme = minhash_dedup.Scheme(paragraph_dedup.BANDS, paragraph_dedup.ROWS)
+    cut, met = n - -(-80 * n // 100), 0
+    for k in range(400):
+        pool = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        pair = [np.sort(x) for x in ((pool, pool[cut:]) if k % 2 else (pool[cut // 2 :], pool[: n - (cut - cut // 2)]))]
+        a, b = (minhash_dedup._keys(x, scheme.minima(x), scheme, 80, paragraph_dedup.SHORT) for x in pair)
+        met += len(np.intersect1d(a, b)) > 0
+    assert met == 400
