@@ -113,7 +113,7 @@ def search_hyperparameters(spark, sf_dir):
 @query("isolation_forest")
 def isolation_forest(spark, sf_dir):
     df = pr.standardize(readings(spark, sf_dir), SENSORS, split=None)
-    nodes = iso.fit_isolation_forest(df, SENSORS, "event_id", trees=25)
+    nodes = iso.fit_isolation_forest(df, SENSORS, "event_id")
     out = iso.score_isolation(df, nodes, SENSORS)
     return iso.flag_anomalies(out.select("event_id", "fault_type", "score"), "score")
 
@@ -127,7 +127,7 @@ def train_rul(spark, sf_dir):
 @query("shapley_attribution")
 def shapley_attribution(spark, sf_dir):
     df = features_z(spark, sf_dir)
-    return at.shapley_attribution(df, MODEL.probabilities, FEATURES, CLASSES, "event_id", max_rows=20, permutations=5)
+    return at.shapley_attribution(df, MODEL.probabilities, FEATURES, CLASSES, "event_id")
 
 
 @query("registry_register", "SELECT * FROM (VALUES ('Scaler', 7e-1, 8e-1, 16), ('Scaler', 5e-1, 6e-1, 16)) t(model_name, metric_f1, metric_accuracy, n_features)")

@@ -126,3 +126,15 @@ def test_catalog_is_consistent():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100
+
+
+def test_explaining_queries_keep_the_operators_budgets(spark, monkeypatch):
+    """The registered queries hand over no cut number of trees, rows or permutations."""
+    from fleetpulse.catalog import models as catalog
+    seen = []
+    monkeypatch.setattr(catalog.iso, "fit_isolation_forest", lambda *a, **kw: seen.append((len(a), kw)))
+    monkeypatch.setattr(catalog.iso, "score_isolation", lambda df, *a: df.withColumn("score", F.lit(0.0)))
+    monkeypatch.setattr(catalog.at, "shapley_attribution", lambda *a, **kw: seen.append((len(a), kw)))
+    catalog.isolation_forest(spark, SMALL)
+    catalog.shapley_attribution(spark, SMALL)
+    assert seen == [(3, {}), (5, {})]
