@@ -27,6 +27,8 @@ def _lines(least: int):
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 for at, line in enumerate((batch.column("text")[k].as_py() or "").split("\n")):
                     if len(line) >= 2 * least - 1 and len(line.encode().split()) >= least:
+                        if at >= MOST_LINES:
+                            raise ValueError(f"doc_id {doc_id}: paragraph beyond line {MOST_LINES}")
                         ids.append(doc_id * MOST_LINES + at)
                         texts.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -118,7 +120,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, percent: int = 80
 
     Digests are counted before they are exchanged and bring back one row each, so a line that stands everywhere is never
     gathered. Null texts are empty; rows with a null doc_id, and documents that lose nothing, are not in the result;
-    doc_id is expected to be unique and to lie within ±2^42 (else an error); other columns are ignored; an empty table
+    doc_id is expected to be unique and to lie within ±2^42, paragraphs within the first 2^20 lines (else an error); other columns are ignored; an empty table
     gives an empty result.
     """
     own: list[str] = []

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetpulse.llm import minhash_dedup, paragraph_dedup
@@ -139,3 +140,11 @@ def test_paragraph_keys_meet_at_the_threshold(n):
         a, b = (minhash_dedup._keys(x, scheme.minima(x), scheme, 80, paragraph_dedup.SHORT) for x in pair)
         met += len(np.intersect1d(a, b)) > 0
     assert met == 400
+
+
+def test_line_numbers_have_a_bound(monkeypatch):
+    monkeypatch.setattr(paragraph_dedup, "MOST_LINES", 3)
+    run = lambda text: [b.to_pylist() for b in paragraph_dedup._lines(5)([pa.RecordBatch.from_pydict({"doc_id": [7], "text": [text]})])]
+    assert run("a\n\none two three four five\nshort") == [[{"doc_id": 23, "text": "one two three four five"}]]
+    with pytest.raises(ValueError):
+        run("a\n\n\none two three four five")
