@@ -120,10 +120,10 @@ class WaveletShard:
         return a, b
 
     def count(self, token: int, end: int | None = None) -> int:
-        """How often `token` stands among the first `end` tokens (all if None)."""
+        """How often `token` stands among the first `end` tokens (all if None; `end` is clamped to 0 … n)."""
         if token < 0 or token >> self.levels:
             return 0
-        a, b = self._span(token, self.n if end is None else end)
+        a, b = self._span(token, self.n if end is None else min(max(end, 0), self.n))
         return b - a
 
     def occurrences(self, token: int) -> list[int]:
