@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.llm import contamination, minhash_dedup, packing, suffix_dedup
 from fleetpulse.llm import toxicity as crf
-from fleetpulse.llm.common import settled, without_members
+from fleetpulse.llm.common import drop_tables, without_ids
 from fleetpulse.session import scratch_path
 
 
@@ -19,13 +19,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain model calls toxic (score ≥ 0.3) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     toxic = crf.toxicity(docs, labels).where("predicted = 1").select("doc_id")
-    return without_members(docs, settled(toxic, "toxic"), "doc_id")
+    return without_ids(docs, toxic, "doc_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, Jaccard ≥ 0.8) stays: the one with the smallest doc_id."""
     copies = minhash_dedup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
-    return without_members(docs, settled(copies, "copies"), "doc_id")
+    return without_ids(docs, copies, "doc_id")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other parameters, go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contamination.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)   # native: a short list, beside one scan
+    return without_ids(docs, contamination.contaminated(docs, benchmark).select("doc_id"), "doc_id")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over `documents`; every stage reads what the one before has written."""
+    """All stages in order over `documents`; every stage reads what the one before has written.
+
+    A stage's input table is deleted once the next table is written; the last table stays for the caller to read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written: list[str] = []
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_tables(spark, written)
+        written.append(path)
         docs = spark.read.parquet(path)
     return docs

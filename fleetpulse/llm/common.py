@@ -196,6 +196,21 @@ def without_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return side(False).union(side(True).join(ids.distinct(), column, "left_anti").select(*rows.columns))
 
 
+BROADCAST_IDS = 4_000_000   # some 32 MB of longs: above it the ids are shuffled beside the rows
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` is null or not among `ids` (a one-column table), all in the JVM.
+
+    The ids are counted first: up to BROADCAST_IDS distinct ones are sent to every task, more go by a shuffle join. Rows
+    never pass through Python, whatever their width. Repeated ids and an empty id table are fine.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
+    ids = settled(ids, "ids")
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, column, "left_anti").select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, keep: list | None = None, max_rounds: int = 60) -> DataFrame:
     """Alternate large-star and small-star until the edges stand still; (u, v) longs → one (node, component) row per node.
 
