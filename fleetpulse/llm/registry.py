@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import contamination, minhash_dedup, packing, paragraph_dedup, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
+from fleetpulse.llm import contamination, conversation_repair, minhash_dedup, packing, paragraph_dedup, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,8 @@ def op5(spark, sf_dir):
 @query("op11_prefix_sum_shards")
 def op11(spark, sf_dir):
     return sharding.shard_plan(table(spark, sf_dir, "documents"), shards=40, law="bytes", overhead=16)
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
