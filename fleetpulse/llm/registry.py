@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
-from fleetpulse.llm import contamination, conversation_repair, minhash_dedup, packing, paragraph_dedup, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
+from fleetpulse.llm import collocations, contamination, conversation_repair, minhash_dedup, packing, paragraph_dedup, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_dedup, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -142,3 +142,38 @@ def op11(spark, sf_dir):
 @query("op12_conversation_repair")
 def op12(spark, sf_dir):
     return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_quotient_filter_collocations", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, 1 AS k, ws[i] AS phrase FROM spots
+  UNION ALL SELECT lang, 2, array_to_string(ws[i:i + 1], ' ') FROM spots WHERE i + 1 <= len(ws)
+  UNION ALL SELECT lang, 3, array_to_string(ws[i:i + 2], ' ') FROM spots WHERE i + 2 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+cand AS (SELECT lang, k, phrase, f AS a FROM f WHERE k >= 2 AND f >= 10),
+cparts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(parts[1:j], ' ') AS lp, array_to_string(parts[j + 1:], ' ') AS rp
+  FROM (SELECT *, string_split(phrase, ' ') AS parts, unnest(range(1, k)) AS j FROM cand)),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, fl.f AS l, fr.f AS r, (1000000::HUGEINT * c.a * c.a) // (fl.f::HUGEINT * fr.f) AS score
+  FROM cparts c JOIN f fl ON fl.lang = c.lang AND fl.phrase = c.lp JOIN f fr ON fr.lang = c.lang AND fr.phrase = c.rp),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts) WHERE o = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS part, a FROM cand WHERE k = 3
+  UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2:3], ' '), a FROM cand WHERE k = 3),
+covers AS (SELECT lang, part, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN covers c ON c.lang = b.lang AND c.part = b.phrase AND b.k = 2
+  WHERE c.longer IS NULL OR 100 * c.longer < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC) AS rank FROM kept)
+SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals ON ranked.lang = totals.lang WHERE rank <= 2000
+""")
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"), top=2000, min_count=10, share=50)
