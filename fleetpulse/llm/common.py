@@ -87,13 +87,20 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
 
 
+KEEP_POWERS = 1 << 21   # tables kept for the worker's life: 2 × 16 MB; longer texts get their own, dropped after use
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_STEP, _BACK)):
-            full = np.full(n, base, np.uint64)
-            full[0] = 1
-            _POWERS[k] = np.multiply.accumulate(full)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (_STEP, _BACK):
+        full = np.full(n, base, np.uint64)
+        full[0] = 1
+        made.append(np.multiply.accumulate(full))
+    if n <= KEEP_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import _BACK, _STEP, by_bytes, drop_tables, member_sides, mix, only_members, settled, text_buffers
+from fleetpulse.llm.common import _BACK, _STEP, KEEP_POWERS, by_bytes, drop_tables, member_sides, mix, only_members, settled, text_buffers
 from fleetpulse.llm.suffix_sort import SuffixSorter
 
 GRAM = 16                   # bytes that choose an anchor
@@ -38,14 +38,17 @@ class _Sums:
 
     @classmethod
     def _powers(cls, k: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in cls.tables or len(cls.tables[k][0]) < n:
-            made = []
-            for factor in (base, _BACK if k == 0 else pow(base, -1, 1 << 64)):
-                full = np.full(n, factor, np.uint64)
-                full[0] = 1
-                made.append(np.multiply.accumulate(full))
+        """Kept for the worker's life up to KEEP_POWERS entries; a longer text gets its own tables, dropped after use."""
+        if k in cls.tables and len(cls.tables[k][0]) >= n:
+            return cls.tables[k][0][:n], cls.tables[k][1][:n]
+        made = []
+        for factor in (base, _BACK if k == 0 else pow(base, -1, 1 << 64)):
+            full = np.full(n, factor, np.uint64)
+            full[0] = 1
+            made.append(np.multiply.accumulate(full))
+        if n <= KEEP_POWERS:
             cls.tables[k] = (made[0], made[1])
-        return cls.tables[k][0][:n], cls.tables[k][1][:n]
+        return made[0], made[1]
 
     def hashes(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
         return mix((self.total[k][b] - self.total[k][a]) * self.down[k][a])
