@@ -161,10 +161,19 @@ register_model("Logistic Regression", _logistic, lambda r: {"C": _log(r, 0.01, 3
 register_model("Decision Tree", lambda maxDepth=12, **kw: DecisionTreeClassifier(
     **_base(maxDepth=maxDepth, weightCol=WEIGHT, seed=SEED, **kw)), lambda r: {
     "maxDepth": r.randint(3, 30), "minInstancesPerNode": r.randint(1, 6), "impurity": r.choice(["gini", "entropy"])})
-register_model("LightGBM", _boosted(10, True), lambda r: {
+def _softmax_boosted(depth: int, weighted: bool):
+    """Many-class boosting on softmax gradients (operators/boosting.py): one tree per class and round, no one-vs-rest."""
+    def make(maxIter=300, stepSize=0.05, maxDepth=depth, **kw):
+        from fleetpulse.operators.boosting import SoftmaxBoost
+        return SoftmaxBoost(maxIter=maxIter, stepSize=stepSize, maxDepth=maxDepth, weightCol=WEIGHT if weighted else None,
+                            labelCol=LABEL, featuresCol=FEATURES, **kw)
+    return make
+
+
+register_model("LightGBM", _softmax_boosted(10, True), lambda r: {
     "maxIter": r.randrange(100, 601, 50), "stepSize": _log(r, 0.005, 0.2), "maxDepth": r.randint(3, 12),
     "minInstancesPerNode": r.randint(5, 40)})
-register_model("XGBoost", _boosted(6, False), lambda r: {
+register_model("XGBoost", _softmax_boosted(6, False), lambda r: {
     "maxIter": r.randrange(100, 601, 50), "stepSize": _log(r, 0.005, 0.2), "maxDepth": r.randint(3, 12),
     "minInstancesPerNode": r.randint(1, 8), "subsamplingRate": r.uniform(0.6, 1.0)})
 
