@@ -98,6 +98,32 @@ def _ngram_keys(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lefts), np.concatenate(rights)
 
 
+CHUNK_WORDS = 1 << 20      # words of one numpy pass: some 50 bytes of n-gram keys and sorting each
+
+
+def _by_words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK_WORDS words (a longer row stands alone), so that memory follows the slice, not the batch."""
+    for batch in batches:
+        lists = batch.column(column)
+        sizes = pc.list_value_length(pc.list_flatten(lists)) if column == "words" else pc.list_value_length(lists)
+        per_row = np.zeros(batch.num_rows, np.int64)
+        if column == "words":
+            pieces_per_row = pc.list_value_length(lists).fill_null(0).to_numpy()
+            counts = sizes.fill_null(0).to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), pieces_per_row)
+            np.add.at(per_row, owner, counts)
+        else:
+            per_row = sizes.fill_null(0).to_numpy().astype(np.int64)
+        ends = np.cumsum(per_row)
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, base + CHUNK_WORDS, "right"))
+            stop = min(max(stop, start + 1), batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _filters(bits: int, words: pa.Array | None):
     """mapInArrow: each task's counting quotient filter, per lang, as sorted (quotient, remainder, count) rows."""
     h, q = _layout(bits)
@@ -105,7 +131,7 @@ def _filters(bits: int, words: pa.Array | None):
     low = np.uint64((1 << (h - q)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _by_words(batches, "words" if words is not None else "ids"):
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 part = batch.filter(pc.equal(langs, lang))
@@ -176,7 +202,7 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     """
     spark = docs.sparkSession
     own: list[str] = []
-    split = settled(pieces(docs), "pieces", own)
+    split = pieces(docs)        # made again where needed: cheaper than writing nested arrays
     flat = split.select("lang", F.explode(F.flatten("words")).alias("word"))
     counted = settled(flat.groupBy("lang", "word").agg(F.count("*").alias("f")), "word-counts", own)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
