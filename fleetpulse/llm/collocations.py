@@ -74,19 +74,25 @@ def _layout(bits: int) -> tuple[int, int]:
     return h, min(QUOTIENT_BITS, h)
 
 
-def _ngram_keys(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed halves of all 1-, 2- and 3-grams of nonzero ids (0 breaks)."""
+def _ngram_keys(ids: np.ndarray, bits: int, orders=(1, 2, 3), pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Packed halves of all n-grams of the given orders over nonzero ids (0 breaks). With `pairs` (sorted keys
+    id1 << bits | id2 of the frequent 2-grams) a 3-gram is kept only if both of its 2-grams are among them."""
     ids = ids.astype(np.uint64)
     b = np.uint64(bits)
     lefts, rights = [], []
     n = len(ids)
-    for order in (1, 2, 3):
+    for order in orders:
         if n < order:
             continue
         m = n - order + 1
         ok = np.ones(m, bool)
         for k in range(order):
             ok &= ids[k : k + m] != 0
+        if order == 3 and pairs is not None:
+            for k in (0, 1):
+                key = (ids[k : k + m] << b) | ids[k + 1 : k + 1 + m]
+                at = np.searchsorted(pairs, key)
+                ok &= (at < len(pairs)) & (pairs[np.minimum(at, len(pairs) - 1)] == key) if len(pairs) else False
         at = np.flatnonzero(ok)
         first = ids[at]
         second = ids[at + 1] if order > 1 else np.zeros(len(at), np.uint64)
@@ -98,7 +104,7 @@ def _ngram_keys(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-CHUNK_WORDS = 1 << 20      # words of one numpy pass: some 50 bytes of n-gram keys and sorting each
+CHUNK_WORDS = 1 << 18      # words of one numpy pass: some 100 bytes of n-gram keys and sorting each
 
 
 def _by_words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -124,28 +130,36 @@ def _by_words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Rec
             start = stop
 
 
-def _filters(bits: int, words: pa.Array | None):
-    """mapInArrow: each task's counting quotient filter, per lang, as sorted (quotient, remainder, count) rows."""
+def _to_ids(words: pa.Array):
+    """mapInArrow: (lang, words: list<list<string>>) → (lang, ids: list<long>), frequent words 1 … V, others 0, a 0 after each piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_words(batches, "words"):
+            lists = batch.column("words")
+            flat = pc.list_flatten(lists)
+            ids = pc.index_in(pc.list_flatten(flat), value_set=words).fill_null(-1).to_numpy() + 1
+            inner = flat.value_lengths().fill_null(0).to_numpy()
+            stream = np.insert(ids.astype(np.int64), np.cumsum(inner), 0)
+            per_doc = pc.list_value_length(lists).fill_null(0).to_numpy()           # pieces, each with its 0
+            piece_ends = np.concatenate(([0], np.cumsum(inner + 1)))
+            doc_ends = piece_ends[np.concatenate(([0], np.cumsum(per_doc)))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(stream))],
+                                             names=["lang", "ids"])
+    return run
+
+
+def _filters(bits: int, orders=(1, 2, 3), pairs: np.ndarray | None = None):
+    """mapInArrow over (lang, ids): each slice's counting quotient filter, per lang, as sorted (quotient, remainder, count) rows."""
     h, q = _layout(bits)
     perm = Feistel(h)
     low = np.uint64((1 << (h - q)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_words(batches, "words" if words is not None else "ids"):
+        for batch in _by_words(batches, "ids"):
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 part = batch.filter(pc.equal(langs, lang))
-                if words is not None:       # (lang, words: list<list<string>>) with the vocabulary sent along
-                    flat = pc.list_flatten(part.column("words"))
-                    ids = pc.index_in(pc.list_flatten(flat), value_set=words).fill_null(-1).to_numpy() + 1
-                    inner = flat.value_lengths().fill_null(0).to_numpy()
-                else:                       # (lang, ids: list<long>), one row per piece
-                    ids = pc.list_flatten(part.column("ids")).to_numpy()
-                    inner = part.column("ids").value_lengths().fill_null(0).to_numpy()
-                # a 0 after every piece keeps n-grams inside pieces
-                ends = np.cumsum(inner)
-                stream = np.insert(ids.astype(np.int64), ends, 0)
-                left, right = _ngram_keys(stream, bits)
+                stream = pc.list_flatten(part.column("ids")).to_numpy()
+                left, right = _ngram_keys(stream, bits, orders, pairs)
                 if not len(left):
                     continue
                 left, right = perm.forward(left, right)
@@ -213,18 +227,33 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     if stats["b"] <= BROADCAST_BYTES:
         vocab = pa.array(sorted(r.word for r in frequent.collect()), pa.string())     # a counted, bounded size
         ids = spark.createDataFrame([(w, i + 1) for i, w in enumerate(vocab.to_pylist())], "word string, id long") if len(vocab) else None
-        filters = split.mapInArrow(_filters(bits, vocab), "lang string, quotient long, rem_hi long, rem_lo long, f long")
+        streams = split.mapInArrow(_to_ids(vocab), "lang string, ids array<long>")
     else:
         ids = _dense_ids(frequent, own)
         stream = split.select("lang", F.monotonically_increasing_id().alias("doc"), F.posexplode("words").alias("piece", "ws"))
         stream = settled(stream.select("lang", "doc", "piece", F.posexplode("ws").alias("pos", "word")), "stream", own)
         joined = stream.join(ids, "word", "left").select("lang", "doc", "piece", "pos", F.coalesce("id", F.lit(0)).alias("id"))
         per_piece = joined.groupBy("lang", "doc", "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
-        per_piece = per_piece.select("lang", F.col("s.id").alias("ids"))
-        filters = per_piece.mapInArrow(_filters(bits, None), "lang string, quotient long, rem_hi long, rem_lo long, f long")
-
-    merged = filters.groupBy("lang", "quotient", "rem_hi", "rem_lo").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-    grams = settled(merged.mapInArrow(_inverse(bits), "lang string, order long, w1 long, w2 long, w3 long, f long"), "grams", own)
+        streams = per_piece.select("lang", F.concat(F.col("s.id"), F.array(F.lit(0).cast("long"))).alias("ids"))
+    streams = settled(streams, "id-streams", own)          # 8 bytes a word, read twice below
+
+    kinds = "lang string, quotient long, rem_hi long, rem_lo long, f long"
+    grams_schema = "lang string, order long, w1 long, w2 long, w3 long, f long"
+
+    def counted_grams(orders, pairs, name):
+        merged = streams.mapInArrow(_filters(bits, orders, pairs), kinds).groupBy("lang", "quotient", "rem_hi", "rem_lo") \
+            .agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+        return settled(merged.mapInArrow(_inverse(bits), grams_schema), name, own)
+
+    short = counted_grams((1, 2), None, "grams-12")
+    # a 3-gram can reach min_count only if both of its 2-grams do: those pairs are sent along when their count allows
+    frequent_pairs = short.where("order = 2")
+    n_pairs = frequent_pairs.count()
+    pairs = None
+    if n_pairs * 16 <= BROADCAST_BYTES:
+        got = frequent_pairs.select("w1", "w2").toArrow()
+        pairs = np.sort((got.column("w1").to_numpy().astype(np.uint64) << np.uint64(bits)) | got.column("w2").to_numpy().astype(np.uint64))
+    grams = short.unionByName(counted_grams((3,), pairs, "grams-3"))
 
     def count_of(order: int, *cols: str, name: str) -> DataFrame:
         keys = ["w1", "w2", "w3"][:order]
