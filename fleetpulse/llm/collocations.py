@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import drop_tables, mix, settled
+from fleetpulse.llm.common import drop_tables, mix, settled, released
 
 # fixed values of the contract
 PIECE_BREAKS = "[.,;:!?\\n\\x0B\\x0C\\r]"
@@ -227,7 +227,7 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     if stats["b"] <= BROADCAST_BYTES:
         vocab = pa.array(sorted(r.word for r in frequent.collect()), pa.string())     # a counted, bounded size
         ids = spark.createDataFrame([(w, i + 1) for i, w in enumerate(vocab.to_pylist())], "word string, id long") if len(vocab) else None
-        streams = split.mapInArrow(_to_ids(vocab), "lang string, ids array<long>")
+        streams = split.mapInArrow(released(_to_ids(vocab)), "lang string, ids array<long>")
     else:
         ids = _dense_ids(frequent, own)
         stream = split.select("lang", F.monotonically_increasing_id().alias("doc"), F.posexplode("words").alias("piece", "ws"))
@@ -241,9 +241,9 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     grams_schema = "lang string, order long, w1 long, w2 long, w3 long, f long"
 
     def counted_grams(orders, pairs, name):
-        merged = streams.mapInArrow(_filters(bits, orders, pairs), kinds).groupBy("lang", "quotient", "rem_hi", "rem_lo") \
+        merged = streams.mapInArrow(released(_filters(bits, orders, pairs)), kinds).groupBy("lang", "quotient", "rem_hi", "rem_lo") \
             .agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-        return settled(merged.mapInArrow(_inverse(bits), grams_schema), name, own)
+        return settled(merged.mapInArrow(released(_inverse(bits)), grams_schema), name, own)
 
     short = counted_grams((1, 2), None, "grams-12")
     # a 3-gram can reach min_count only if both of its 2-grams do: those pairs are sent along when their count allows

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +18,35 @@ from fleetpulse.session import scratch_path
 SLICE_BYTES = 1 << 20
 
 
+@functools.cache
+def _libc_trim():
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
+def _trim() -> None:
+    """Garbage collection, then glibc's malloc_trim where the C library has it (looked up once in each worker)."""
+    gc.collect()
+    trim = _libc_trim()
+    if trim is not None:
+        trim(0)
+
+
+def released(fn):
+    """The Arrow-batch function `fn`, which hands freed heap back to the system when its partition ends.
+
+    Python workers are reused from stage to stage; without this, each keeps the high-water mark of the largest batch
+    any earlier stage gave it (glibc keeps freed blocks below its raised mmap threshold). A system without
+    `malloc_trim` only collects garbage.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+    return run
+
+
 def settled(df: DataFrame, name: str, keep: list | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut and lost executors cost no recomputation.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, only_members, settled, shingle_sets, text_buffers
+from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, only_members, settled, shingle_sets, text_buffers, released
 
 BLOCK = 1500                 # members of a bucket that meet in one task
 
@@ -119,11 +119,11 @@ def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, pe
     """Pairs (a, b) → those alike by signature and then at least `percent` similar on their full sets."""
     tiny = core.select("doc_id", "tiny")
     near = pairs.join(tiny.toDF("a", "ta"), "a").join(tiny.toDF("b", "tb"), "b")
-    near = settled(near.mapInArrow(_alike(limit), "a long, b long"), "alike", own)
+    near = settled(near.mapInArrow(released(_alike(limit)), "a long, b long"), "alike", own)
     named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = settled(only_members(docs, named, "doc_id"), "texts", own)
     full = near.join(texts.toDF("a", "xa"), "a").join(texts.toDF("b", "xb"), "b")
-    return settled(full.mapInArrow(_exact(width, percent), "a long, b long").distinct(), "links", own)
+    return settled(full.mapInArrow(released(_exact(width, percent)), "a long, b long").distinct(), "links", own)
 
 
 def _sides(key: tuple, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     own: list[str] = []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scheme = Scheme(bands, rows, percent / 100)
-    sigs = settled(docs.mapInArrow(_signatures(width, scheme, percent, short), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
+    sigs = settled(docs.mapInArrow(released(_signatures(width, scheme, percent, short)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
     digest = ["n_shingles", "d1", "d2"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = settled(full.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     rest = rest.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component", "tiny")
     kinds = "key long, x int, y int, block int, doc_id long, component long, tiny binary"
     rest = settled(rest.groupBy("key", "x", "y").applyInPandas(_open_members(scheme.limit), kinds), "open", own)
-    sets = only_members(docs, rest.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, own binary")
+    sets = only_members(docs, rest.select("doc_id").distinct(), "doc_id").mapInArrow(released(_sets(width)), "doc_id long, own binary")
     more = rest.join(sets, "doc_id").groupBy("key", "x", "y").applyInPandas(_across(scheme.limit, percent), "a long, b long")
     more = settled(more.distinct(), "across", own)
     found = comps.toDF("u", "v").union(more.toDF("u", "v"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import settled
+from fleetpulse.llm.common import settled, released
 from fleetpulse.llm.tokens import encoded, encoder
 
 SALT = 128                  # a length that a third of all rows share is ranked in so many parts
@@ -165,7 +165,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> D
             yield out()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -198,4 +198,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 3] + at // each), pa.array(row[:, 4] + at % each * length)],
                                              names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

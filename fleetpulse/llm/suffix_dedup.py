@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import _BACK, _STEP, KEEP_POWERS, by_bytes, drop_tables, member_sides, mix, only_members, settled, text_buffers
+from fleetpulse.llm.common import _BACK, _STEP, KEEP_POWERS, by_bytes, drop_tables, member_sides, mix, only_members, settled, text_buffers, released
 from fleetpulse.llm.suffix_sort import SuffixSorter
 
 GRAM = 16                   # bytes that choose an anchor
@@ -287,7 +287,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     own: list[str] = []
     keyed = _keyed(docs)
-    found = settled(keyed.mapInArrow(_anchored(length), "doc_id long, k long, anchor int, first int, last int, core long, whole long"), "anchors", own)
+    found = settled(keyed.mapInArrow(released(_anchored(length)), "doc_id long, k long, anchor int, first int, last int, core long, whole long"), "anchors", own)
     cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
     cores = settled(cores.select("core", (F.col("w0") != F.col("w1")).alias("differ")), "cores", own)
     shared = settled(only_members(found, cores.select("core"), "core"), "shared", own)
@@ -301,16 +301,16 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     wanted = settled(wanted, "wanted", own)
     texts = only_members(keyed, wanted.select("k").distinct(), "k").withColumnRenamed("doc_id", "d").withColumnRenamed("k", "j").dropDuplicates(["d", "j"])
     strings = wanted.join(texts, (F.col("k") == F.col("j")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "k", "text", "wanted")
-    strings = strings.mapInArrow(_strings(length), "doc_id long, k long, anchor int, first int, last int, core long, whole long, n long, left binary, right binary")
+    strings = strings.mapInArrow(released(_strings(length)), "doc_id long, k long, anchor int, first int, last int, core long, whole long, n long, left binary, right binary")
     many = contexts.groupBy("core").agg(F.count("*").alias("size")).where(F.col("size") > HOT_CONTEXTS).select("core")
     many = settled(many, "many", own)
     if not many.isEmpty():
         strings = settled(strings, "strings", own)
     rest = strings.join(many, "core", "left_anti").repartition("core").sortWithinPartitions("core")
-    parts = rest.mapInArrow(_sorted_groups(length), "doc_id long, k long, start long, stop long")
+    parts = rest.mapInArrow(released(_sorted_groups(length)), "doc_id long, k long, start long, stop long")
     if not many.isEmpty():
         windows = strings.join(many, "core", "left_semi").select(*strings.columns)
-        windows = windows.mapInArrow(_single_windows(length), "doc_id long, k long, start long, core long, n long, h1 long, h2 long")
+        windows = windows.mapInArrow(released(_single_windows(length)), "doc_id long, k long, start long, core long, n long, h1 long, h2 long")
         windows = settled(windows, "windows", own)
         twice = windows.groupBy("core", "h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
         hot = windows.where("n = 1").join(twice, ["core", "h1", "h2"]).select("doc_id", "k", "start", (F.col("start") + length).alias("stop"))
@@ -320,7 +320,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     spans = settled(spans, "spans", own)
     texts = only_members(keyed, spans.select("k"), "k").withColumnRenamed("doc_id", "d").withColumnRenamed("k", "j").dropDuplicates(["d", "j"])
     texts = spans.join(texts, (F.col("k") == F.col("j")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "k", "text", "spans")
-    out = settled(texts.mapInArrow(_cut, CUT), "cut")
+    out = settled(texts.mapInArrow(released(_cut), CUT), "cut")
     drop_tables(docs.sparkSession, own)
     return out
 

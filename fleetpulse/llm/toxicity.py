@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import _BYTE, _powers, by_bytes, mix, text_buffers
+from fleetpulse.llm.common import _BYTE, _powers, by_bytes, mix, text_buffers, released
 
 TRAIN_DOCS = 600           # labelled documents of each class that the model is fitted on
 ROUNDS = 20
@@ -350,6 +350,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, thresh
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = slim.mapInArrow(run, "doc_id long, score double, spans array<struct<start:long,end:long>>")
+    out = slim.mapInArrow(released(run), "doc_id long, score double, spans array<struct<start:long,end:long>>")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
