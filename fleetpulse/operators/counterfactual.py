@@ -18,9 +18,11 @@ def counterfactual(
     """Move one feature by ±step per round, always the move that raises the target probability most.
 
     A row stops at the target class, when no move helps, or after `max_steps`. Each round
-    scores the 2·d moves of all rows still active in one pass; the moves of a row are made and
-    compared in the same task, so the exchange carries one best move per row. The state is
-    checkpointed every round, which keeps the plan short and survives lost executors.
+    scores the 2·d moves of all rows still active in one pass. The moves of a row are columns of
+    that row and keep only the best so far: they are never rows, so nothing is exchanged or sorted.
+    Only if a key repeats do its rows meet, in the first round, and go on as the one that gains most.
+    `score` adds `probs` and keeps the other columns. The state is checkpointed every round,
+    which keeps the plan short and survives lost executors.
 
     Returns (key, success, steps, original_class, final_class, probs, d_<feature>…).
     """
@@ -30,8 +32,7 @@ def counterfactual(
     state = first.withColumns({
         **zero, "original_class": F.col("final_class"), "steps": F.lit(0),
         "success": F.col("final_class") == target, "active": F.col("final_class") != target})
-    moves = F.array(*[F.struct(F.lit(2 * i + s).alias("m"), F.lit(f).alias("f"), F.lit(v).alias("v"))
-                      for i, f in enumerate(movable) for s, v in enumerate((-step, step))])
+    moves = [(f, v) for f in movable for v in (-step, step)]
     kept = [key, *features, *zero, "original_class", "steps"]
     done = None
     state = stable(state)
@@ -39,20 +40,15 @@ def counterfactual(
         active = state.where("active")
         if active.isEmpty():
             break
-        tried = active.select(*kept, F.col("probs").alias("__p"), F.inline(moves))
-        for f in movable:
-            tried = tried.withColumns({
-                f: F.when(F.col("f") == f, F.col(f) + F.col("v")).otherwise(F.col(f)),
-                f"d_{f}": F.when(F.col("f") == f, F.col(f"d_{f}") + F.col("v")).otherwise(F.col(f"d_{f}"))})
-        tried = score(tried)
-        gain = F.col("probs")[target] - F.col("__p")[target]
-        # first best move wins: lower feature, then the step down
-        best = tried.withColumn("__gain", gain).groupBy(key).agg(F.max_by(
-            F.struct(*[c for c in kept if c != key], "probs", "__p", "__gain", "f", "v"),
-            F.struct(F.col("__gain"), -F.col("m"))).alias("b")).select(key, "b.*")
+        best = _best_move(active.select(*kept, F.col("probs").alias("__p")), score, moves, target)
+        if round_no == 1 and not active.groupBy(key).count().where("count > 1").isEmpty():
+            whole = F.struct(*[c for c in best.columns if c != key])
+            best = best.groupBy(key).agg(F.max_by(whole, F.struct("__gain", -F.col("__m"))).alias("b")).select(key, "b.*")
         helps = F.col("__gain") > 0
-        back = {c: F.when(helps | (F.col("f") != c.removeprefix("d_")), F.col(c)).otherwise(F.col(c) - F.col("v"))
-                for f in movable for c in (f, f"d_{f}")}
+        ahead = {name: F.col(name) + F.when(F.col("__m") == 2 * i, -step).when(F.col("__m") == 2 * i + 1, step)
+                 for i, f in enumerate(movable) for name in (f, f"d_{f}")}
+        back = {name: F.when(helps & F.col("__m").isin(2 * i, 2 * i + 1), ahead[name]).otherwise(F.col(name))
+                for i, f in enumerate(movable) for name in (f, f"d_{f}")}
         moved = best.withColumns(back).withColumn("probs", F.when(helps, F.col("probs")).otherwise(F.col("__p")))
         moved = moved.withColumn("final_class", argmax(F.col("probs")))
         hit = helps & (F.col("final_class") == target)
@@ -68,6 +64,21 @@ def counterfactual(
     return out.select(key, "success", "steps", "original_class", "final_class", "probs", *zero)
 
 
+def _best_move(df: DataFrame, score: Callable[[DataFrame], DataFrame], moves: Sequence[tuple[str, float]], target: int) -> DataFrame:
+    """Add `__m`, `__gain` and `probs` of the move that raises the target most; the first of equal ones (lower feature, step down)."""
+    names, best = df.columns, []
+    for m, (f, v) in enumerate(moves):
+        tried = score(df.withColumns({"__own": F.col(f), f: F.col(f) + v})).withColumn(
+            "__new", F.col("probs")[target] - F.col("__p")[target])
+        found = {"__m": F.lit(m), "__gain": F.col("__new"), "__probs": F.col("probs")}
+        if best:
+            wins = (F.col("__new") > F.col("__gain")) | (F.col("__gain").isNull() & F.col("__new").isNotNull())
+            found = {c: F.when(wins, x).otherwise(F.col(c)) for c, x in found.items()}
+        best = list(found)
+        df = tried.select(*[F.col("__own").alias(c) if c == f else c for c in names], *[x.alias(c) for c, x in found.items()])
+    return df.withColumnRenamed("__probs", "probs")
+
+
 def top_impacted(found: DataFrame, features: Sequence[str], key: str, n: int = 12) -> DataFrame:
     """The n largest changes of each row, without those below 1e-6. All from the row itself: no shuffle."""
     changes = F.array(*[F.struct(-F.abs(f"d_{f}").alias("size"), F.lit(f).alias("feature"), F.col(f"d_{f}").alias("delta"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import let
@@ -34,11 +35,17 @@ class LinearModel:
         return total
 
     def probabilities(self, df: DataFrame, name: str = "probs") -> DataFrame:
-        """Each intermediate array is bound once, so that filters pushed below this stay small."""
-        margins = F.array(*[self.margin(c) for c in range(len(self.classes))])
-        exps = let(margins, lambda m: F.transform(m, lambda v: F.exp(v - F.array_max(m))))
-        total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-        return df.withColumn(name, let(exps, lambda e: F.transform(e, lambda v: v / total(e))))
+        """The expression is built once a session: a search that scores many moves would spend its time building it."""
+        return df.withColumn(name, _softmax(self, df.sparkSession))
+
+
+@lru_cache(maxsize=4)
+def _softmax(model: LinearModel, spark: SparkSession) -> Column:
+    """Each intermediate array is bound once, so that filters pushed below this stay small."""
+    margins = F.array(*[model.margin(c) for c in range(len(model.classes))])
+    exps = let(margins, lambda m: F.transform(m, lambda v: F.exp(v - F.array_max(m))))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    return let(exps, lambda e: F.transform(e, lambda v: v / total(e)))
 
 
 def linear_attribution(df: DataFrame, model: LinearModel, keep: Sequence[str],
