@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators.ordering import quantiles, running_totals, settled
 from fleetpulse.schema import ReadingSchema, numeric_features
+from fleetpulse.session import scratch_path
 
 BUCKETS = 10
 MODERATE, SEVERE = 0.1, 0.25
@@ -179,12 +180,16 @@ def drift_report(
 
 def report_of(long: DataFrame, n_features: int = 1, layout: str = "auto", accuracy: int | None = None) -> DataFrame:
     """The report from `sided` or `sided_by` rows, by way of per-value counts. In the plain layout the wide
-    input is computed and exchanged once."""
+    input is computed and exchanged once; else its counts are written once, since edges, bins, distances and means
+    each read them."""
     layout = settled(layout, long, n_features)
     counts = counts_by_value(long)
     if layout == "plain" and accuracy is None:
         out = _one_pass(counts)
     else:
+        path = scratch_path(counts.sparkSession, "value-counts")
+        counts.write.parquet(path)
+        counts = counts.sparkSession.read.parquet(path)
         shares = psi(counts if accuracy is None else long, layout, accuracy)
         out = side_profile(counts, layout).join(F.broadcast(shares), "feature")  # one row per column
     out = out.where((F.col("n_ref") >= MIN_SIDE_ROWS) & (F.col("n_cur") >= MIN_SIDE_ROWS))

@@ -95,3 +95,14 @@ def test_scaler_stage_matches_function(readings, spark):
     again = pr.ColumnScalerModel.load(path).transform(readings).select("event_id", "speed", "voltage")
     want = pr.standardize(readings, ["speed", "voltage"], split=None).select("event_id", "speed", "voltage")
     assert rows(again, 6) == rows(want, 6)
+
+
+def test_chunked_report_computes_its_rows_once(spark):
+    """Edges, bins, distances and means read the written counts: the input is not computed again for each."""
+    df = spark.range(4000).select((F.col("id") % 2 == 0).alias("early"), (F.col("id") * 7919 % 1009 / 7.0).alias("a"),
+                                  F.sqrt(F.col("id") % 501).alias("b"))
+    long = dr.sided_by(df, F.col("early"), ["a", "b"])
+    chunked, plain = (dr.report_of(long, 2, layout) for layout in ("chunked", "plain"))
+    assert "Range" not in chunked._jdf.queryExecution().optimizedPlan().toString()
+    for got, want in zip(chunked.collect(), plain.collect(), strict=True):
+        assert got["feature"] == want["feature"] and all(abs(got[c] - want[c]) < 1e-9 for c in ("psi", "ks_statistic", "mean_shift"))
