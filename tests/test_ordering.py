@@ -71,3 +71,21 @@ def test_fused_frame_plan_has_one_hash_exchange(readings):
     text = fused_frame(readings, READINGS)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(") == 1
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_split_compares_in_the_row(spark):
+    """The wide table is neither exchanged nor sorted, and the rows are those of the window; equal keys across a cut go to it."""
+    from pyspark.sql import functions as F
+
+    from fleetpulse.operators import prepare as pr
+
+    df = spark.range(3000).select(F.when(F.col("id") % 700 > 0, F.col("id")).alias("k"), (F.col("id") % 3).cast("string").alias("label"),
+                                  F.rand(1).alias("x"))
+    plan = pr.stratified_split(df, "label", "k", 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    copies = df.unionByName(df).unionByName(df)
+    unlabelled = df.withColumn("label", F.when(F.col("label") != "1", F.col("label")))
+    for table, share in ((df, 0.2), (copies, 0.33), (unlabelled, 0.2), (df, 0.0)):
+        got, want = ({tuple(r) for r in pr.stratified_split(table, "label", "k", share, layout=layout).groupBy(
+            "label", "k", "split").count().collect()} for layout in ("auto", "plain"))
+        assert got == want
