@@ -138,3 +138,49 @@ def test_explaining_queries_keep_the_operators_budgets(spark, monkeypatch):
     catalog.isolation_forest(spark, SMALL)
     catalog.shapley_attribution(spark, SMALL)
     assert seen == [(3, {}), (5, {})]
+
+
+def test_counterfactual_rounds_exchange_nothing(spark, monkeypatch):
+    """The moves of a row are compared in the row: of unique keys no round shuffles or sorts its moves."""
+    from fleetpulse.operators import counterfactual as cf
+
+    plans, keep = [], cf.stable
+    monkeypatch.setattr(cf, "stable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    df = spark.range(40).select(F.col("id").alias("event_id"), *[((F.col("id") * (j + 3)) % 11 - 5.0).alias(f) for j, f in enumerate(FEATURES)])
+    search = lambda d: cf.counterfactual(d, MODEL.probabilities, FEATURES, len(CLASSES), TARGET, "event_id", step=0.5, max_steps=2)
+    once = rows(search(df))
+    assert len(plans) == 3 and not any("Exchange" in p or "Aggregate" in p for p in plans)
+    # repeated keys: the rows still searching meet, as one
+    settled = [r for r in once if r[-2] == 0]   # steps
+    assert rows(search(df.unionByName(df))) == sorted(once + settled, key=repr)
+
+
+def test_knn_ties_copies_and_odd_numbers():
+    """A block's search equals plain differences: copies, ties by id, NaN and infinite numbers, offsets that cancel."""
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        n, m, width, k = (int(rng.integers(1, top)) for top in (400, 40, 20, 9))
+        points = rng.integers(-2, 3, (n, width)).astype(float) if trial % 2 else rng.normal(size=(n, width)) + 1e5 * (trial % 6 == 0)
+        queries, ids = np.r_[rng.normal(size=(m, width)), points[:5]], rng.integers(0, 500, n)
+        if trial % 5 == 0:
+            points[0, 0] = np.nan
+        if trial % 7 == 0:
+            queries[0, 0], points[-1, -1] = np.nan, np.inf
+        got = {}
+        for at, neighbours, distances in knn._nearest(ids, points, queries, k):
+            for i, *best in zip(at, neighbours, distances):
+                got.setdefault(i, []).append(best)
+        for i, x in enumerate(queries):
+            want = knn._exact(ids, points, x, k)
+            assert [b[0] for b in got[i]] == list(want[0]) and np.array_equal([b[1] for b in got[i]], want[1], equal_nan=True)
+
+
+def test_knn_block_measures_few_pairs():
+    """4,096 queries against 16,384 points of 64 numbers: a matrix product, not a pass over all differences (over 100 s)."""
+    import time
+
+    rng = np.random.default_rng(2)
+    points, queries = rng.normal(size=(16_384, 64)), rng.normal(size=(4_096, 64))
+    start = time.perf_counter()
+    assert sum(len(part[0]) for part in knn._nearest(np.arange(16_384), points, queries, 7)) == 7 * 4_096
+    assert time.perf_counter() - start < 20
