@@ -5,29 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, only_members, settled, shingle_sets, text_buffers, released
+from fleetpulse.llm.common import by_bytes, connected_components, drop_tables, mix, only_members, settled, shingle_sets, text_buffers, released, whole_groups
 
 BLOCK = 1500                 # members of a bucket that meet in one task
+PAIRS = 1 << 18              # pairs that are compared at once
+SLICE = 1 << 18              # bytes of text hashed at once
 
 
 class Scheme:
     """`bands` × `rows` universal hashes a·x + b mod 2^32 over mixed 64-bit shingle hashes.
 
-    A pair of similarity j shares no band with a chance of (1 - j^rows)^bands. The similarity estimated from all minima
-    is trusted within 4.6 standard deviations.
+    A pair of similarity j shares no band with a chance of (1 - j^rows)^bands. The signature has one bit per minimum, from
+    a random table per hash: equal minima agree and others agree with a chance of 1/2, whatever the elements behind them.
+    `differ` is the number of bits by which a pair of the least similarity differs, and 4.6 standard deviations more.
     """
 
     def __init__(self, bands: int = 40, rows: int = 6, similarity: float = 0.8):
         self.bands, self.rows, self.n = bands, rows, bands * rows
-        self.limit = similarity - 4.6 * (similarity * (1 - similarity) / self.n) ** 0.5
+        unlike = (1 - similarity) / 2
+        self.differ = self.n * unlike + 4.6 * (self.n * unlike * (1 - unlike)) ** 0.5
         draw = np.random.default_rng(7)
         self.a = draw.integers(0, 1 << 32, self.n, dtype=np.uint32) | np.uint32(1)
         self.b = draw.integers(0, 1 << 32, self.n, dtype=np.uint32)
+        self.chosen = draw.integers(0, 2, (self.n, 256), dtype=np.uint8)
 
     def minima(self, own: np.ndarray) -> np.ndarray:
         """The smallest value of each hash over the set."""
@@ -39,6 +43,29 @@ class Scheme:
             np.minimum(out, part.min(axis=1), out=out)
         return out
 
+    def all_minima(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One row of minima per set, none of them empty; small sets are taken together."""
+        out = np.empty((len(sets), self.n), np.uint32)
+        total = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
+        start = 0
+        while start < len(sets):
+            stop = int(np.searchsorted(total, total[start] + 2048, "right")) - 1
+            if stop <= start:
+                stop = start + 1
+                out[start] = self.minima(sets[start])
+            else:
+                x = (np.concatenate(sets[start:stop]) >> np.uint64(32)).astype(np.uint32)
+                part = np.multiply.outer(self.a, x)
+                part += self.b[:, None]
+                out[start:stop] = np.minimum.reduceat(part, total[start:stop] - total[start], axis=1).T
+            start = stop
+        return out
+
+    def signature(self, low: np.ndarray) -> np.ndarray:
+        """Rows of minima → rows of 64-bit words with one bit per minimum."""
+        packed = np.packbits(self.chosen[np.arange(self.n), low & np.uint32(255)], axis=1)
+        return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
     def keys(self, low: np.ndarray) -> np.ndarray:
         """One 64-bit key per band; the band's number is part of it."""
         rows = low.reshape(self.bands, self.rows).astype(np.uint64)
@@ -62,41 +89,47 @@ def _keys(own: np.ndarray, low: np.ndarray, scheme: Scheme, percent: int, short:
 
 def _signatures(width: int, scheme: Scheme, percent: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            size, first, second, bands, tiny = [], [], [], [], []
-            for own in shingle_sets(*text_buffers(batch.column("text")), width):
-                size.append(len(own))
-                first.append(int(own.sum(dtype=np.uint64).view(np.int64)))
-                second.append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                low = scheme.minima(own) if len(own) else None
-                bands.append(None if low is None else _keys(own, low, scheme, percent, short))
-                tiny.append(None if low is None else (low & np.uint32(255)).astype(np.uint8).tobytes())
+        for batch in by_bytes(batches, "text", SLICE):
+            sets = list(shingle_sets(*text_buffers(batch.column("text")), width))
+            size = np.array([len(s) for s in sets], np.int64)
+            full = np.flatnonzero(size)
+            digests = np.zeros((2, len(sets)), np.uint64)
+            bands, tiny = [None] * len(sets), [None] * len(sets)
+            if len(full):
+                own = [sets[k] for k in full.tolist()]
+                flat, first = np.concatenate(own), np.cumsum(size[full]) - size[full]
+                digests[0, full] = np.add.reduceat(flat, first)
+                digests[1, full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), first)
+                low = scheme.all_minima(own)
+                for k, elements, row, bits in zip(full.tolist(), own, low, scheme.signature(low)):
+                    bands[k] = _keys(elements, row, scheme, percent, short)
+                    tiny[k] = bits.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+                [batch.column("doc_id"), pa.array(size), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(tiny, pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "tiny"])
     return run
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity from the low bytes of the minima; chance agreement is taken out."""
-    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+def _words(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """The signatures of a batch, one row of 64-bit words each."""
+    return text_buffers(batch.column(column))[0].view(np.uint64).reshape(batch.num_rows, -1)
 
 
-def agreeing(own: np.ndarray, others: np.ndarray, limit: float) -> np.ndarray:
-    """Rows of `others` whose estimate with `own` reaches the limit; a quarter of the minima, with four standard
-    deviations to spare, decides about most of them."""
-    head = max(len(own) // 4, 1)
-    near = np.flatnonzero(np.count_nonzero(others[:, :head] == own[:head], axis=1) >= head * (limit - 2 / head**0.5))
-    return near[agreement(own, others[near]) >= limit]
+def differing(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of bits in which rows i of `a` and rows j of `b` differ."""
+    out = np.zeros(len(i), np.int64)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[i, w] ^ b[j, w])
+    return out
 
 
-def _alike(limit: float):
+def _alike(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ta", "tb"))
-                good = np.flatnonzero(agreement(a, b) >= limit)
+                every = np.arange(batch.num_rows)
+                good = np.flatnonzero(differing(_words(batch, "ta"), every, _words(batch, "tb"), every) <= scheme.differ)
                 yield batch.select(["a", "b"]).take(pa.array(good))
     return run
 
@@ -104,83 +137,118 @@ def _alike(limit: float):
 def _exact(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes([whole], "xa"):
+            for batch in by_bytes([whole], "xa", SLICE):
                 sets = zip(shingle_sets(*text_buffers(batch.column("xa")), width), shingle_sets(*text_buffers(batch.column("xb")), width))
                 good = []
                 for x, y in sets:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = _common(x, y) if len(x) and len(y) else 0
                     good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 keep = np.flatnonzero(good)
                 yield batch.select(["a", "b"]).take(pa.array(keep))
     return run
 
 
-def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, percent: int, limit: float, own: list) -> DataFrame:
+def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, percent: int, scheme: Scheme, own: list) -> DataFrame:
     """Pairs (a, b) → those alike by signature and then at least `percent` similar on their full sets."""
     tiny = core.select("doc_id", "tiny")
     near = pairs.join(tiny.toDF("a", "ta"), "a").join(tiny.toDF("b", "tb"), "b")
-    near = settled(near.mapInArrow(released(_alike(limit)), "a long, b long"), "alike", own)
+    near = settled(near.mapInArrow(released(_alike(scheme)), "a long, b long"), "alike", own)
     named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = settled(only_members(docs, named, "doc_id"), "texts", own)
     full = near.join(texts.toDF("a", "xa"), "a").join(texts.toDF("b", "xb"), "b")
     return settled(full.mapInArrow(released(_exact(width, percent)), "a long, b long").distinct(), "links", own)
 
 
-def _sides(key: tuple, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The two blocks of a bucket that meet in this task; for a block with itself both are the same."""
-    return group[group["block"] == key[1]], group[group["block"] == key[2]]
-
-
-def _tiny(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["tiny"]), np.uint8).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.uint8)
-
+def _candidates(batch: pa.RecordBatch, scheme: Scheme, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of the pairs of a batch of whole groups that may be alike and are in different components.
 
-def _open_members(limit: float):
+    Rows are sorted by key, x, y, block and size, so the partners of a row are neighbours: sizes of like sets differ by the
+    similarity at most. Of two sets that meet at places p and q of their sorted elements, for the first time there, no more
+    than the elements from there on are common: a pair that fails by that either is not alike or meets in an earlier bucket.
+    What passes is judged by signature.
+    """
+    n = batch.num_rows
+    key, x, y, block, size, place, component = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y", "block", "size", "place", "component"))
+    group = np.zeros(n, np.int64)
+    group[1:] = np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    side = group * 2 + (block != x)                         # within x = y one side, else two
+    other = np.where(x == y, side, np.where(block == x, side + 1, -1))
+    at = side << 32 | size
+    low = np.searchsorted(at, other << 32 | -(-size * percent // 100), "left")
+    high = np.searchsorted(at, other << 32 | np.minimum(size * 100 // percent, (1 << 32) - 1), "right")
+    low = np.where(x == y, np.maximum(low, np.arange(n) + 1), low)
+    many = np.where(other < 0, 0, np.maximum(high - low, 0))
+    total = np.concatenate(([0], np.cumsum(many)))
+    bits = _words(batch, "tiny")
+    start = 0
+    while start < n:
+        stop = max(int(np.searchsorted(total, total[start] + PAIRS, "right")) - 1, start + 1)
+        i = np.repeat(np.arange(start, stop), many[start:stop])
+        j = np.arange(len(i)) + np.repeat(low[start:stop] - (total[start:stop] - total[start]), many[start:stop])
+        start = stop
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        fit = np.flatnonzero((component[i] != component[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need))
+        i, j = i[fit], j[fit]
+        good = differing(bits, i, bits, j) <= scheme.differ
+        if good.any():
+            yield i[good], j[good]
+
+
+def _open_members(scheme: Scheme, percent: int):
     """The members of a bucket that agree by signature with a member of another component; not the pairs."""
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(key, group)
-        a, b = _tiny(left), _tiny(right)
-        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-        hit_a, hit_b = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        for k in range(len(left)):
-            other = np.flatnonzero(cb != ca[k])
-            good = other[agreeing(a[k], b[other], limit)]
-            hit_a[k] |= len(good) > 0
-            hit_b[good] = True
-        out = pd.concat([left[hit_a], right[hit_b]]).drop_duplicates("doc_id")
-        return out[["key", "x", "y", "block", "doc_id", "component", "tiny"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, ["key", "x", "y"]):
+            hit = np.zeros(batch.num_rows, bool)
+            for i, j in _candidates(batch, scheme, percent):
+                hit[i] = True
+                hit[j] = True
+            if hit.any():
+                yield batch.filter(pa.array(hit))
     return run
 
 
-def _across(limit: float, percent: int):
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of common elements of two sorted sets."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+
+
+def _across(scheme: Scheme, percent: int):
     """Links between components of a bucket, confirmed on full sets; a pair already joined here is passed over, so the
     links found are at most one fewer than the members."""
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(key, group)
-        a, b = _tiny(left), _tiny(right)
-        sets_a, sets_b = ([np.frombuffer(s, np.uint64) for s in side["own"]] for side in (left, right))
-        ia, ib = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-        names, at = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
-        ca, cb = at[: len(left)], at[len(left) :]
-        joined = np.arange(len(names))
-        found = []
-        for k in range(len(left)):
-            other = np.flatnonzero(joined[cb] != joined[ca[k]])
-            for j in other[agreeing(a[k], b[other], limit)]:
-                if joined[cb[j]] == joined[ca[k]]:
-                    continue
-                x, y = sets_a[k], sets_b[j]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    found.append((ia[k], ib[j]))
-                    joined[joined == joined[cb[j]]] = joined[ca[k]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, ["key", "x", "y"]):
+            raw, offsets = text_buffers(batch.column("own"))
+            words, cut = raw.view(np.uint64), offsets // 8
+            ids, names = batch.column("doc_id").to_numpy(), batch.column("component").to_numpy()
+            up: dict[int, int] = {}                         # links hold wherever they are found
+
+            def top(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            found = []
+            for i, j in _candidates(batch, scheme, percent):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    ca, cb = top(int(names[a])), top(int(names[b]))
+                    if ca == cb:
+                        continue
+                    u, v = words[cut[a] : cut[a + 1]], words[cut[b] : cut[b + 1]]
+                    both = _common(u, v)
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        found.append((ids[a], ids[b]))
+                        up[max(ca, cb)] = min(ca, cb)
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             own = [s.tobytes() for s in shingle_sets(*text_buffers(batch.column("text")), width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "own"])
     return run
@@ -213,28 +281,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = settled(full.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"r_{c}") for c in digest])
-    core = full.join(reps, "doc_id").where("n_shingles = r_n_shingles and d1 = r_d1 and d2 = r_d2").select("doc_id", "bands", "tiny")
+    core = full.join(reps, "doc_id").where("n_shingles = r_n_shingles and d1 = r_d1 and d2 = r_d2").select("doc_id", "bands", "tiny", F.col("n_shingles").alias("size"))
     core = settled(core, "core", own)
-    members = core.select("doc_id", F.explode("bands").alias("key"))
+    members = core.select("doc_id", F.posexplode("bands").alias("place", "key"), (F.size("bands") - F.when(F.col("size") > short, bands).otherwise(0)).alias("prefix"))
+    members = members.select("doc_id", "key", F.when(F.col("place") < F.col("prefix"), F.col("place")).otherwise(0).alias("place"))  # band keys have no place
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
     buckets = settled(buckets.where("a <> z").drop("z"), "buckets", own)
-    inside = settled(members.join(buckets, "key").select("key", "doc_id", "a", "n"), "inside", own)
+    inside = settled(members.join(buckets, "key").select("key", "doc_id", "place", "a", "n"), "inside", own)
     pairs = inside.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _verified(pairs, core, docs, width, percent, scheme.limit, own)
+    links = _verified(pairs, core, docs, width, percent, scheme, own)
     comps = connected_components(links.toDF("u", "v"), own)
 
     named = inside.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    named = named.select("key", "doc_id", "place", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = named.join(mixed, "key").join(core.select("doc_id", "tiny"), "doc_id")
+    rest = named.join(mixed, "key").join(core.select("doc_id", "size", "tiny"), "doc_id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component", "tiny")
-    kinds = "key long, x int, y int, block int, doc_id long, component long, tiny binary"
-    rest = settled(rest.groupBy("key", "x", "y").applyInPandas(_open_members(scheme.limit), kinds), "open", own)
+    rest = rest.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "place", "size", "component", "tiny")
+    order = ["key", "x", "y", F.col("block") != F.col("x"), "size"]
+    rest = rest.repartition("key", "x", "y").sortWithinPartitions(*order)
+    rest = settled(rest.mapInArrow(released(_open_members(scheme, percent)), rest.schema), "open", own)
     sets = only_members(docs, rest.select("doc_id").distinct(), "doc_id").mapInArrow(released(_sets(width)), "doc_id long, own binary")
-    more = rest.join(sets, "doc_id").groupBy("key", "x", "y").applyInPandas(_across(scheme.limit, percent), "a long, b long")
+    more = rest.join(sets, "doc_id").repartition("key", "x", "y").sortWithinPartitions(*order)
+    more = more.mapInArrow(released(_across(scheme, percent)), "a long, b long")
     more = settled(more.distinct(), "across", own)
     found = comps.toDF("u", "v").union(more.toDF("u", "v"))
     final = connected_components(found) if not more.isEmpty() else settled(comps, "components")

@@ -148,3 +148,56 @@ def test_line_numbers_have_a_bound(monkeypatch):
     assert run("a\n\none two three four five\nshort") == [[{"doc_id": 23, "text": "one two three four five"}]]
     with pytest.raises(ValueError):
         run("a\n\n\none two three four five")
+
+
+def test_candidates_of_buckets():
+    """Pairs of many small buckets and of split ones, against every pair; a pair needs one bucket, that of its first common key."""
+    rng = np.random.default_rng(4)
+    scheme = minhash_dedup.Scheme()
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 40)), dtype=np.uint64)
+        for _ in range(5):
+            own = np.where(rng.random(len(base)) < 0.06, rng.integers(0, 1 << 63, len(base), dtype=np.uint64), base)
+            sets.append(np.unique(own[: max(1, len(own) - int(rng.integers(0, 2)))]))
+    low = scheme.all_minima(sets)
+    assert all((low[k] == scheme.minima(s)).all() for k, s in enumerate(sets))
+    tiny = scheme.signature(low)
+    component = rng.integers(0, 100, len(sets))
+    rows = []
+    for blocks in (1, 3):
+        block = np.arange(len(sets)) % blocks
+        for k, own in enumerate(sets):
+            for place, key in enumerate(minhash_dedup._keys(own, low[k], scheme, 80, 160).tolist()):
+                for other in range(blocks):
+                    x, y = min(int(block[k]), other), max(int(block[k]), other)
+                    rows.append((key ^ blocks, x, y, int(block[k]), k + 1000 * blocks, place, len(own), int(component[k])))
+    rows.sort(key=lambda r: (r[:3], r[3] != r[1], r[6]))
+    columns = ["key", "x", "y", "block", "doc_id", "place", "size", "component"]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(8)] + [pa.array([tiny[r[4] % 1000].tobytes() for r in rows])], names=[*columns, "tiny"])
+    cut = [whole.slice(at, 37) for at in range(0, whole.num_rows, 37)]
+    found = set()
+    for batch in minhash_dedup.whole_groups(cut, ["key", "x", "y"]):
+        ids = batch.column("doc_id").to_numpy()
+        for i, j in minhash_dedup._candidates(batch, scheme, 80):
+            found |= {(int(min(a, b)), int(max(a, b))) for a, b in zip(ids[i], ids[j])}
+    alike_pairs = [(a, b) for a, b in combinations(range(len(sets)), 2) if component[a] != component[b]
+                   and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert len(alike_pairs) > 100
+    assert all((a + 1000 * n, b + 1000 * n) in found for a, b in alike_pairs for n in (1, 3))
+    opened = [r for batch in minhash_dedup._open_members(scheme, 80)(iter(cut)) for r in batch.column("doc_id").to_pylist()]
+    assert set(opened) == {x for pair in found for x in pair}
+
+
+def test_many_small_buckets_in_time():
+    """30,000 buckets of three members take seconds: no data frame per bucket."""
+    import time
+
+    rng = np.random.default_rng(1)
+    n, tiny = 90_000, [rng.integers(0, 256, 32, dtype=np.uint8).tobytes() for _ in range(3)]
+    columns = {"key": np.arange(n) // 3, "x": np.zeros(n, int), "y": np.zeros(n, int), "block": np.zeros(n, int), "doc_id": np.arange(n),
+               "place": np.zeros(n, int), "size": np.full(n, 20), "component": np.arange(n)}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array(tiny * (n // 3))], names=[*columns, "tiny"])
+    start = time.perf_counter()
+    assert list(minhash_dedup._open_members(minhash_dedup.Scheme(), 80)(iter([batch]))) == []
+    assert time.perf_counter() - start < 20
