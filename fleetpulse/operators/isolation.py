@@ -73,31 +73,49 @@ def _expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
+def _walkable(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> tuple:
+    """A tree whose leaves lead to themselves: feature, cut, the two children of each node side by side, its depth, and
+    the path length of each node. Points need no test whether they have arrived."""
+    leaf, own = feature < 0, np.arange(len(feature))
+    children = np.stack([np.where(leaf, own, right), np.where(leaf, own, left)], axis=1).ravel()
+    depth = np.zeros(len(feature), dtype=int)
+    level = np.array([0])
+    while len(level):
+        inner = level[~leaf[level]]
+        below = np.concatenate([left[inner], right[inner]])
+        depth[below] = np.concatenate([depth[inner], depth[inner]]) + 1
+        level = below
+    return np.where(leaf, 0, feature).astype(np.int64), cut, children.astype(np.int64), int(depth.max(initial=0)), depth + _expected_path(size)
+
+
+def _path_lengths(points: np.ndarray, forest: Sequence[tuple], block: int = 4096) -> np.ndarray:
+    """The sum over the trees of each point's path length. Points go by in blocks that stay in the cache."""
+    total = np.zeros(len(points))
+    for start in range(0, len(points), block):
+        part = points[start : start + block]
+        flat, base = part.ravel(), np.arange(len(part)) * part.shape[1]
+        for feature, cut, children, depth, path in forest:
+            at = np.zeros(len(part), dtype=np.int64)
+            for _ in range(depth):
+                at = children.take(2 * at + (flat.take(base + feature.take(at)) < cut.take(at)))
+            total[start : start + block] += path.take(at)
+    return total
+
+
 def score_isolation(df: DataFrame, nodes: DataFrame, features: Sequence[str], sample: int = 256,
                     name: str = "score") -> DataFrame:
     """Score −2^(−mean path/c(sample)): higher is more normal. The forest is bounded by its parameters
     (trees·2·sample nodes), so it travels as one broadcast."""
     forest = [t for _, t in nodes.toPandas().sort_values(["tree", "node"]).groupby("tree")]
-    packed = [tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "size")) for t in forest]
-    largest = max((int(t[4][0]) for t in packed), default=sample)
+    packed = [_walkable(*(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "size"))) for t in forest]
+    largest = max((int(t["size"].iloc[0]) for t in forest), default=sample)
     shared = df.sparkSession.sparkContext.broadcast(packed)
     norm = float(_expected_path(np.array([largest]))[0]) or 1.0
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         points = np.stack(x.to_numpy()).astype(float)
-        total = np.zeros(len(points))
-        for feature, cut, left, right, size in shared.value:
-            at = np.zeros(len(points), dtype=int)
-            length = np.zeros(len(points))
-            live = feature[at] >= 0
-            while live.any():
-                here = at[live]
-                below = points[live, feature[here]] < cut[here]
-                at[live] = np.where(below, left[here], right[here])
-                length[live] += 1
-                live = feature[at] >= 0
-            total += length + _expected_path(size[at])
+        total = _path_lengths(points, shared.value)
         return pd.Series(-np.power(2.0, -(total / max(len(shared.value), 1)) / norm))
 
     return df.withColumn(name, score(F.array(*[F.coalesce(F.col(f), F.lit(0.0)) for f in features])))

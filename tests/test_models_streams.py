@@ -184,3 +184,34 @@ def test_knn_block_measures_few_pairs():
     start = time.perf_counter()
     assert sum(len(part[0]) for part in knn._nearest(np.arange(16_384), points, queries, 7)) == 7 * 4_096
     assert time.perf_counter() - start < 20
+
+
+def test_isolation_paths_equal_a_plain_walk():
+    """Leaves lead to themselves; every point gets depth + expected rest of the leaf it falls into, bit for bit."""
+    import numpy as np
+
+    from fleetpulse.operators import isolation as iso
+
+    rng = np.random.default_rng(3)
+    forest = []
+    for _ in range(5):
+        nodes, todo = [], [(0, 0)]
+        while todo:
+            node, level = todo.pop(0)
+            stops = level == 6 or (level and rng.random() < 0.3)
+            below = [node + len(todo) + 1, node + len(todo) + 2]
+            nodes.append((-1, 0.0, -1, -1, int(rng.integers(1, 9))) if stops else (int(rng.integers(4)), float(rng.normal()), *below, 9))
+            todo += [] if stops else [(b, level + 1) for b in below]
+        forest.append(tuple(np.array([n[c] for n in nodes]) for c in range(5)))
+    forest.append(tuple(np.array([v]) for v in (-1, 0.0, -1, -1, 1)))  # a single leaf
+    points = rng.normal(size=(5000, 4))
+    points[7, 2] = np.nan
+    want = np.zeros(len(points))
+    for feature, cut, left, right, size in forest:
+        for k, p in enumerate(points):
+            at, depth = 0, 0
+            while feature[at] >= 0:
+                at, depth = (left if p[feature[at]] < cut[at] else right)[at], depth + 1
+            want[k] += depth + iso._expected_path(size[at])
+    assert (iso._path_lengths(points, [iso._walkable(*t) for t in forest], block=512) == want).all()
+    assert len(iso._path_lengths(points[:0], [iso._walkable(*t) for t in forest])) == 0
