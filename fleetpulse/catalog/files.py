@@ -11,7 +11,7 @@ from fleetpulse.catalog.views import READINGS, R, readings, table
 from fleetpulse.functions.scalars import rounded
 from fleetpulse.plans.fused import fused_frame
 from fleetpulse.schema import SENSORS, ReadingSchema
-from fleetpulse.session import scratch_path
+from fleetpulse.session import scratch_path, written
 from fleetpulse.sources import files as fs
 from fleetpulse.sources import registry as rg
 
@@ -54,6 +54,7 @@ def csv_to_fused(spark, sf_dir):
     """Readings from a CSV file without a key and with a column of its own, straight into the feature frame."""
     df = readings(spark, sf_dir).drop("event_id").withColumn("note", F.lit("x"))
     df = fs.read_readings_csv(spark, fs.write_table(df, scratch_path(spark, "readings-csv")), ReadingSchema(ts="ts"))
+    df = written(df, "readings-rows")       # the feature frame reads its input several times
     return rounded(fused_frame(df, ReadingSchema(ts="ts")).select("ts", "system_id", "fault_type", *FUSED_FEATURES))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.scalars import nan_to_null
 from fleetpulse.operators.explore import rul_cycle_label
 from fleetpulse.schema import SENSORS, ReadingSchema
+from fleetpulse.session import written
 
 BASE_TIME = "2025-01-01 00:00:00"
 
@@ -70,7 +71,8 @@ def _has_text(spark: SparkSession, path: str) -> bool:
 
 
 def adapt_turbofan(lines: DataFrame, healthy_cutoff: int = 50, seconds_per_cycle: float = 1.0) -> DataFrame:
-    """Whitespace-separated lines (column `value`) → labelled readings. Parsing is all expressions.
+    """Whitespace-separated lines (column `value`) → labelled readings. Parsing is all expressions and is done once: the
+    parsed rows are written, for the label needs each unit's last cycle and a feature frame reads its input several times.
 
     The unit stands in system_id and the cycle in the time; neither is a column that a model could read the label from.
     row_id is unit · 2^20 + cycle, unique in well-formed files.
@@ -80,7 +82,7 @@ def adapt_turbofan(lines: DataFrame, healthy_cutoff: int = 50, seconds_per_cycle
         F.get("p", F.lit(0)).try_cast("double").cast("int").alias("unit"),
         F.get("p", F.lit(1)).try_cast("double").cast("int").alias("cycle"),
         *[F.get("p", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(TURBOFAN_COLUMNS) if i >= 2])
-    labelled = rul_cycle_label(nan_to_null(wide), "unit", "cycle", healthy_cutoff)
+    labelled = rul_cycle_label(written(nan_to_null(wide), "turbofan-rows"), "unit", "cycle", healthy_cutoff)
     unit = F.col("unit").cast("string")
     base = F.unix_micros(F.lit(BASE_TIME).cast("timestamp"))
     at = F.timestamp_micros(base + (F.col("cycle") * seconds_per_cycle * 1e6).cast("long")).cast("timestamp_ntz")

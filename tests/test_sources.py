@@ -84,3 +84,15 @@ def test_mixes_have_exact_sizes(readings):
     assert labels == sorted(labels) and (series[1]["ts"] - series[0]["ts"]).total_seconds() == 1
     assert built["fleet_10x"].select("system_id").distinct().count() <= 10
     assert ReadingSchema().meta == ("timestamp", "system_id", "fault_type")
+
+
+def test_turbofan_text_is_parsed_once(spark):
+    """What stands on the adapted readings reads parsed rows, not the text again."""
+    path = scratch_path(spark, "turbofan-lines")
+    spark.createDataFrame([(f"{u}  {c} " + " ".join(str(u + c + k / 4) for k in range(24)),) for u in (1, 2) for c in range(1, 60)], "value string").write.text(path)
+    df = fs.adapt_turbofan(spark.read.text(path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("parquet") >= 1
+    got = df.groupBy("system_id", "fault_type").count().collect()
+    assert sorted(map(tuple, got)) == [("CMAPSS-001", "Motor Overheating", 51), ("CMAPSS-001", "Normal", 8),
+                                       ("CMAPSS-002", "Motor Overheating", 51), ("CMAPSS-002", "Normal", 8)]
