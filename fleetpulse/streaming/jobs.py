@@ -9,6 +9,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,36 +101,79 @@ def recent_stream(stream: DataFrame, schema: ReadingSchema, columns: Sequence[st
         keep, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
 
 
+def rolling_statistics(values: np.ndarray, place: np.ndarray, window: int, block: int = 1 << 13) -> np.ndarray:
+    """Mean, standard deviation, range and energy of each column of `values` over a row and up to window − 1 rows before
+    it, no more than `place`: the row's number in its own series. Four columns per column.
+
+    As pandas' rolling frames with one value at least: only finite values (squares, for the energy) count; without any,
+    mean and energy are NaN and the other two 0, like the deviation of a single value. `block` rows are taken at once.
+    """
+    n, width = values.shape
+    out = np.empty((n, width, 4))
+    frame = np.full((window - 1 + n, width), np.nan)
+    frame[window - 1:] = values
+    views = np.lib.stride_tricks.sliding_window_view(frame, window, axis=0)
+    back = np.arange(window - 1, -1, -1)
+    with np.errstate(all="ignore"):
+        for at in range(0, n, block):
+            own = back <= place[at: at + block, None]
+            view = np.where(own[:, None, :], views[at: at + block], np.nan)
+            known = np.isfinite(view)
+            count = known.sum(axis=2)
+            mean = np.where(known, view, 0.0).sum(axis=2) / count
+            low, high = np.where(known, view, np.inf).min(axis=2), np.where(known, view, -np.inf).max(axis=2)
+            apart = np.where(known, view - mean[..., None], 0.0)
+            std = np.sqrt((apart * apart).sum(axis=2) / (count - 1))
+            squares = view * view
+            finite = np.isfinite(squares)
+            energy = np.where(finite.any(axis=2), np.where(finite, squares, 0.0).sum(axis=2), np.nan)
+            part = out[at: at + block]
+            part[..., 0] = mean
+            part[..., 1] = np.where((count < 2) | (low == high), 0.0, std)
+            part[..., 2] = np.where(count > 0, high - low, 0.0)
+            part[..., 3] = energy
+    return out.reshape(n, width * 4)
+
+
+ROLLING_GROUPS = 1024       # systems are dealt to so many groups: for Spark a group costs as much as thousands of rows
+
+
 def rolling_stream(stream: DataFrame, schema: ReadingSchema, window: int = 10,
                    sensors: Sequence[str] = ROLLING_SENSORS) -> DataFrame:
     """Rolling statistics of each arriving reading, from the last window−1 readings kept per system.
 
     Within a micro-batch a system's readings are taken in time order; across batches in the order
-    of arrival. State per system is window−1 rows.
+    of arrival. State per system is window−1 rows; the systems of a group (by hash) are taken and kept together.
     """
     sensors = list(sensors)
     names = rolling_columns(window, sensors)
-    slim = stream.select(schema.system, schema.ts, schema.tie, *sensors)
+    slim = stream.select(F.pmod(F.xxhash64(schema.system), F.lit(ROLLING_GROUPS)).alias("__group"), schema.system, schema.ts, schema.tie, *sensors)
     out_schema = T.StructType([slim.schema[schema.system], slim.schema[schema.tie],
                                *[T.StructField(c, T.DoubleType()) for c in names]])
-    state_schema = T.StructType([T.StructField("tail", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    state_schema = T.StructType([T.StructField("blob", T.BinaryType())])
 
     def roll(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(batches)).sort_values([schema.ts, schema.tie])
-        tail = pd.DataFrame(state.get[0], columns=sensors, dtype=float) if state.exists else new[sensors].iloc[:0]
-        values = pd.concat([tail, new[sensors]], ignore_index=True).astype(float)
-        frames = values.rolling(window, min_periods=1)
-        low_high = (frames.max() - frames.min()).fillna(0.0)
-        parts = {"mean": frames.mean(), "std": frames.std().fillna(0.0), "range": low_high,
-                 "energy": (values ** 2).rolling(window, min_periods=1).sum()}
-        out = pd.DataFrame({f"{s}_{stat}_w{window}": p[s] for s in sensors for stat, p in parts.items()}).iloc[len(tail):]
-        kept = values.tail(window - 1)
-        state.update(([[None if pd.isna(v) else float(v) for v in row] for row in kept.to_numpy()],))
-        out.insert(0, schema.tie, new[schema.tie].to_numpy())
-        out.insert(0, schema.system, key[0])
+        systems, values = new[schema.system].to_numpy(dtype=object), new[sensors].to_numpy(dtype=float)
+        tail = 0
+        if state.exists:
+            kept_systems, kept = pickle.loads(state.get[0])
+            tail = len(kept)
+            systems, values = np.concatenate([kept_systems, systems]), np.concatenate([kept, values])
+        code = pd.factorize(systems, use_na_sentinel=False)[0]
+        order = np.argsort(code, kind="stable")             # what was kept comes first in its system
+        code, values = code[order], values[order]
+        first = np.searchsorted(code, code, "left")
+        place = np.arange(len(code)) - first
+        last = np.searchsorted(code, code, "right") - np.arange(len(code)) < window
+        state.update((pickle.dumps((systems[order[last]], values[last])),))
+        rows = order >= tail
+        out = pd.DataFrame(rolling_statistics(values, place, window)[rows], columns=names)
+        out.insert(0, schema.tie, new[schema.tie].to_numpy()[order[rows] - tail])
+        out.insert(0, schema.system, systems[order[rows]])
         yield out
 
-    return slim.groupBy(schema.system).applyInPandasWithState(
+    return slim.groupBy("__group").applyInPandasWithState(
         roll, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,34 @@ def test_rolling_stream_over_batches_equals_batch(spark, readings, parts):
     assert rows(got, 6) == rows(want, 6)
 
 
+def test_rolling_statistics_equal_pandas():
+    rng = np.random.default_rng(5)
+    values = rng.normal(50, 20, (90, 3))
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[20:40, 0], values[5, 1], values[50:65, 2] = np.nan, np.inf, 3.3
+    place = np.concatenate([np.arange(60), np.arange(30)])
+    got = jobs.rolling_statistics(values, place, 10, block=16)
+    for part in (slice(0, 60), slice(60, 90)):
+        df = pd.DataFrame(values[part])
+        frames = df.rolling(10, min_periods=1)
+        want = np.stack([frames.mean(), frames.std().fillna(0.0), (frames.max() - frames.min()).fillna(0.0),
+                         (df ** 2).rolling(10, min_periods=1).sum()], axis=2).reshape(len(df), -1)
+        np.testing.assert_allclose(got[part], want, rtol=1e-9, atol=1e-9)
+
+
+def test_rolling_stream_takes_systems_together(spark, parts, monkeypatch):
+    """The groups that Spark makes do not grow with the systems, and a null system is one of its own."""
+    plan = jobs.rolling_stream(jobs.file_stream(spark, parts), READINGS, 5, ["speed"])._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(system_id" in plan
+    source = spark.read.parquet(parts)
+    path = scratch_path(spark, "null-systems")
+    source.withColumn("system_id", F.when(F.col("event_id") % 3 > 0, F.col("system_id"))).repartition(3).write.parquet(path)
+    monkeypatch.setattr(jobs, "ROLLING_GROUPS", 1)
+    got = jobs.run_to_table(jobs.rolling_stream(jobs.file_stream(spark, path), READINGS, 5, ["speed"]), "roll")
+    want = ft.rolling_features(spark.read.parquet(path), READINGS, 5, ["speed"]).select(*got.columns)
+    assert rows(got, 6) == rows(want, 6)
+
+
 def test_recent_and_counts_over_batches(spark, readings, parts):
     stream = jobs.file_stream(spark, parts, files_per_batch=1)
     out = jobs.run_to_table(jobs.recent_stream(stream, READINGS, ["speed"], 3), "recent", "update")
