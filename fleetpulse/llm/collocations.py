@@ -1,8 +1,8 @@
 """Phrase collocations by counting quotient filters: packed word-id n-grams, invertibly permuted into a quotient and a
 full remainder, counted per shard in quotient order and merged across shards.
 
-1. Words: A-Z lower-cased, texts cut into pieces at `[.,;:!?\\x0A-\\x0D]`, pieces into words `[^\\x20\\x09]+` (DataFrame
-   functions). Word counts per (lang, word) with map-side combining give n per lang and the vocabulary.
+1. Words: A-Z lower-cased, texts cut into pieces at `[.,;:!?\\x0A-\\x0D]`, pieces into words `[^\\x20\\x09]+` (byte tables
+   over slices of texts). Word counts per (lang, word), partial ones per slice, give n per lang and the vocabulary.
 2. Only words that occur at least `min_count` times in some lang can stand in a candidate (a phrase's every word occurs
    at least as often as the phrase), so only they get ids 1 … V; any other word breaks the n-grams around it. The
    vocabulary is sent to the tasks when its counted size is under BROADCAST_BYTES, else word ids are joined to the
@@ -26,13 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import drop_tables, mix, settled, released
+from fleetpulse.llm.common import by_bytes, drop_tables, mix, released, settled, text_buffers, word_spans
 
 # fixed values of the contract
 PIECE_BREAKS = "[.,;:!?\\n\\x0B\\x0C\\r]"
 WORD_BREAKS = "[ \\t]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)          # the same as byte tables: piece breaks, and all between words
+_BREAK[list(b".,;:!?\n\x0B\x0C\r")] = True
+_GAP[list(b" \t")] = True
+_GAP |= _BREAK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 QUOTIENT_BITS = 16
 BROADCAST_BYTES = 64 << 20
 ROUNDS = [np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -105,22 +112,13 @@ def _ngram_keys(ids: np.ndarray, bits: int, orders=(1, 2, 3), pairs: np.ndarray
 
 
 CHUNK_WORDS = 1 << 18      # words of one numpy pass: some 100 bytes of n-gram keys and sorting each
+TEXT_BYTES = 1 << 22       # bytes of text split into words at once; fewer, longer slices give fewer partial counts
 
 
-def _by_words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about CHUNK_WORDS words (a longer row stands alone), so that memory follows the slice, not the batch."""
+def _by_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK_WORDS ids (a longer row stands alone), so that memory follows the slice, not the batch."""
     for batch in batches:
-        lists = batch.column(column)
-        sizes = pc.list_value_length(pc.list_flatten(lists)) if column == "words" else pc.list_value_length(lists)
-        per_row = np.zeros(batch.num_rows, np.int64)
-        if column == "words":
-            pieces_per_row = pc.list_value_length(lists).fill_null(0).to_numpy()
-            counts = sizes.fill_null(0).to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), pieces_per_row)
-            np.add.at(per_row, owner, counts)
-        else:
-            per_row = sizes.fill_null(0).to_numpy().astype(np.int64)
-        ends = np.cumsum(per_row)
+        ends = np.cumsum(pc.list_value_length(batch.column("ids")).fill_null(0).to_numpy().astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -130,20 +128,40 @@ def _by_words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Rec
             start = stop
 
 
-def _to_ids(words: pa.Array):
-    """mapInArrow: (lang, words: list<list<string>>) → (lang, ids: list<long>), frequent words 1 … V, others 0, a 0 after each piece."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lower-cased words of a column of texts, the first word of each text, and which words begin a piece."""
+    raw, offsets = text_buffers(texts)
+    raw = _LOWER[raw]
+    starts, ends, first = word_spans(raw, offsets, _GAP)
+    begins = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(begins), pa.py_buffer(raw[~_GAP[raw]]))
+    breaks = np.concatenate(([0], np.cumsum(_BREAK[raw], dtype=np.int32)))
+    opens = np.ones(len(starts), bool)
+    opens[1:] = breaks[starts[1:]] != breaks[ends[:-1]]
+    opens[first[:-1][first[:-1] < len(starts)]] = True
+    return words, first, opens
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (lang, text) → (lang, word, f), counted within a slice of texts."""
+    for batch in by_bytes(batches, "text", TEXT_BYTES):
+        words, first, _ = _split(batch.column("text"))
+        langs = batch.column("lang").dictionary_encode()
+        code = np.repeat(langs.indices.to_numpy(), np.diff(first))
+        got = pa.table({"lang": code, "word": words}).group_by(["lang", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        for part in got.to_batches():
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(part.column("lang")), part.column("word"), part.column("count_all")], names=["lang", "word", "f"])
+
+
+def _to_ids(vocab: pa.Array):
+    """mapInArrow: (lang, text) → (lang, ids: list<int>), frequent words 1 … V, others 0, a 0 before each piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_words(batches, "words"):
-            lists = batch.column("words")
-            flat = pc.list_flatten(lists)
-            ids = pc.index_in(pc.list_flatten(flat), value_set=words).fill_null(-1).to_numpy() + 1
-            inner = flat.value_lengths().fill_null(0).to_numpy()
-            stream = np.insert(ids.astype(np.int64), np.cumsum(inner), 0)
-            per_doc = pc.list_value_length(lists).fill_null(0).to_numpy()           # pieces, each with its 0
-            piece_ends = np.concatenate(([0], np.cumsum(inner + 1)))
-            doc_ends = piece_ends[np.concatenate(([0], np.cumsum(per_doc)))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(stream))],
-                                             names=["lang", "ids"])
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
+            words, first, opens = _split(batch.column("text"))
+            ids = pc.index_in(words, value_set=vocab).fill_null(-1).to_numpy() + np.int32(1)
+            stream = np.insert(ids, np.flatnonzero(opens), 0)
+            ends = (first + np.concatenate(([0], np.cumsum(opens)))[first]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.ListArray.from_arrays(pa.array(ends), pa.array(stream, pa.int32()))], names=["lang", "ids"])
     return run
 
 
@@ -154,7 +172,7 @@ def _filters(bits: int, orders=(1, 2, 3), pairs: np.ndarray | None = None):
     low = np.uint64((1 << (h - q)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_words(batches, "ids"):
+        for batch in _by_words(batches):
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 part = batch.filter(pc.equal(langs, lang))
@@ -216,9 +234,9 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     """
     spark = docs.sparkSession
     own: list[str] = []
-    split = pieces(docs)        # made again where needed: cheaper than writing nested arrays
-    flat = split.select("lang", F.explode(F.flatten("words")).alias("word"))
-    counted = settled(flat.groupBy("lang", "word").agg(F.count("*").alias("f")), "word-counts", own)
+    slim = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.make_valid_utf8(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    flat = slim.mapInArrow(released(_counted), "lang string, word string, f long")
+    counted = settled(flat.groupBy("lang", "word").agg(F.sum("f").alias("f")), "word-counts", own)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counted.where(F.col("f") >= min_count).select("word").distinct()
     stats = frequent.agg(F.count("*").alias("v"), F.coalesce(F.sum(F.octet_length("word") + 16), F.lit(0)).alias("b")).first()
@@ -227,15 +245,15 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     if stats["b"] <= BROADCAST_BYTES:
         vocab = pa.array(sorted(r.word for r in frequent.collect()), pa.string())     # a counted, bounded size
         ids = spark.createDataFrame([(w, i + 1) for i, w in enumerate(vocab.to_pylist())], "word string, id long") if len(vocab) else None
-        streams = split.mapInArrow(released(_to_ids(vocab)), "lang string, ids array<long>")
+        streams = slim.mapInArrow(released(_to_ids(vocab)), "lang string, ids array<int>")
     else:
         ids = _dense_ids(frequent, own)
-        stream = split.select("lang", F.monotonically_increasing_id().alias("doc"), F.posexplode("words").alias("piece", "ws"))
+        stream = pieces(docs).select("lang", F.monotonically_increasing_id().alias("doc"), F.posexplode("words").alias("piece", "ws"))
         stream = settled(stream.select("lang", "doc", "piece", F.posexplode("ws").alias("pos", "word")), "stream", own)
         joined = stream.join(ids, "word", "left").select("lang", "doc", "piece", "pos", F.coalesce("id", F.lit(0)).alias("id"))
         per_piece = joined.groupBy("lang", "doc", "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
         streams = per_piece.select("lang", F.concat(F.col("s.id"), F.array(F.lit(0).cast("long"))).alias("ids"))
-    streams = settled(streams, "id-streams", own)          # 8 bytes a word, read twice below
+    streams = settled(streams, "id-streams", own)          # 4 or 8 bytes a word, read twice below
 
     kinds = "lang string, quotient long, rem_hi long, rem_lo long, f long"
     grams_schema = "lang string, order long, w1 long, w2 long, w3 long, f long"

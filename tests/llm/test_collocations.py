@@ -70,3 +70,16 @@ def test_odd_rows(spark):
 
 def test_empty(none):
     assert co.collocations(none).count() == 0
+
+
+def test_words_and_pieces_of_slices():
+    import pyarrow as pa
+    words, first, opens = co._split(pa.array(["A b,C", None, " ,. ", "d\te\x0bF.", "g"]))
+    assert words.to_pylist() == ["a", "b", "c", "d", "e", "f", "g"]
+    assert first.tolist() == [0, 3, 3, 3, 6, 7]
+    assert opens.tolist() == [True, False, True, True, False, True, True]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "en", "fr", "fr", "en"]), pa.array(["b a b", "b", None, "b.B", ""])], names=["lang", "text"])
+    assert [tuple(r.values()) for b in co._counted(iter([batch])) for r in sorted(b.to_pylist(), key=str)] == [("en", "a", 1), ("en", "b", 3), ("fr", "b", 2)]
+    (ids,) = co._to_ids(pa.array(["a", "b"]))(iter([batch]))
+    assert ids.column("ids").to_pylist() == [[0, 2, 1, 2], [0, 2], [], [0, 2, 0, 2], []]
+    assert ids.column("ids").type == pa.list_(pa.int32())
