@@ -20,7 +20,6 @@ BLOCK = 1 << 15             # bits of a plane that are compressed together and s
 SHARD_TOKENS = 1 << 20
 TEXT_BYTES = 4 << 20        # text aimed at for one shard
 MOST_PARTS = 20_000
-_ONES = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
 SHARDS = "shard long, first_id long, last_id long, n_docs long, n_tokens long, data binary"
 
@@ -37,22 +36,19 @@ def build_shard(tokens: np.ndarray, doc_ids: list, lengths: np.ndarray, levels:
     out = [MAGIC, struct.pack("<qqqq", len(tokens), levels, len(ids), len(head)), head]
     now = tokens
     for level in range(levels - 1, -1, -1):
-        bit = (now >> level & 1).astype(bool)
+        bit = (now & (1 << level)) != 0
         packed = np.packbits(bit)
         step = BLOCK // 8
         parts = [press(packed[a : a + step].tobytes()) for a in range(0, len(packed), step)]
-        ones = np.add.reduceat(_ones_of(packed), np.arange(0, len(packed), step)) if len(packed) else np.zeros(0, np.int64)
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
         rank = np.concatenate(([0], np.cumsum(ones))).astype("<i8")
         ends = np.cumsum([0, *map(len, parts)]).astype("<i8")
         out += [struct.pack("<q", int(len(bit) - rank[-1])), rank.tobytes(), ends.tobytes(), *parts]
-        now = np.concatenate((now[~bit], now[bit]))
+        if level:
+            now = np.concatenate((now[~bit], now[bit]))
     return b"".join(out)
 
 
-def _ones_of(packed: np.ndarray) -> np.ndarray:
-    return _ONES[packed].astype(np.int64)
-
-
 class WaveletShard:
     """Reads one shard; `access`, `count` and `occurrences` decompress only the blocks they touch."""
 
@@ -141,16 +137,16 @@ class WaveletShard:
 
     def decode(self) -> np.ndarray:
         """All tokens in order, plane by plane from the lowest bit."""
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             zeros, _, ends, at = self.planes[level]
             raw = b"".join(self.press.decompress(self.data[at + int(a) : at + int(b)]) for a, b in zip(ends[:-1], ends[1:]))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
             before = np.empty_like(now)
             before[~bit] = now[:zeros]
-            before[bit] = now[zeros:] | np.uint32(1 << (self.levels - 1 - level))
+            before[bit] = now[zeros:] | now.dtype.type(1 << (self.levels - 1 - level))
             now = before
-        return now
+        return now.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> None:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -35,6 +36,35 @@ def test_words_and_pieces_equal_the_libraries():
     assert all(count(t) == len(model.encode(t)) for t in texts(4000, 2))
 
 
+def test_columns_of_texts_equal_the_library():
+    """Whole columns, with words of letters, signs, digits and contractions side by side, nulls and texts that cannot be folded."""
+    rng = random.Random(3)
+    parts = [*ODD, "###", "&&&", "the", "Été", "ÀÖ", "×", "÷", "ç", "'re", "'s", "!'", "...", "don't", "x'll.y", "'S", "<", "|", "-", "\xad", "ª", "º", "¼", "\x85"]
+    column = [None, "", " ", "\n", "<", "|endoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)), "é", "a"]
+    whole, encode = Tokenizer.from_file(WORDS), WordEncoder(WORDS, words=300)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in column]
+    for step in (1, 7, 5000):
+        got = [x for a in range(0, len(column), step) for x in encode.many(pa.array(column[a : a + step], pa.string()))]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    assert encode.many(pa.array([], pa.string())) == []
+
+
+def test_signs_do_not_take_the_whole_library():
+    """2,000 different words, each with signs behind it: words go to the merge model and the signs are looked up once."""
+    encode, calls = WordEncoder(WORDS), []
+    whole = encode.whole
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return whole.encode(text, **options)
+
+    encode.whole = Counted()
+    text = " ".join(f"{a}{b}{c}###" for a in "abcdefghijklm" for b in "abcdefghijkl" for c in "abcdefghijklm")
+    assert np.frombuffer(encode.many(pa.array([text]))[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 2
+
+
 def test_token_counts(odd, none):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     key = lambda r: repr(r)
