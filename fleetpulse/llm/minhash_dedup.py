@@ -152,11 +152,14 @@ def _verified(pairs: DataFrame, core: DataFrame, docs: DataFrame, width: int, pe
     """Pairs (a, b) → those alike by signature and then at least `percent` similar on their full sets."""
     tiny = core.select("doc_id", "tiny")
     near = pairs.join(tiny.toDF("a", "ta"), "a").join(tiny.toDF("b", "tb"), "b")
-    near = settled(near.mapInArrow(released(_alike(scheme)), "a long, b long"), "alike", own)
+    used: list[str] = []
+    near = settled(near.mapInArrow(released(_alike(scheme)), "a long, b long"), "alike", used)
     named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = settled(only_members(docs, named, "doc_id"), "texts", own)
+    texts = settled(only_members(docs, named, "doc_id"), "texts", used)
     full = near.join(texts.toDF("a", "xa"), "a").join(texts.toDF("b", "xb"), "b")
-    return settled(full.mapInArrow(released(_exact(width, percent)), "a long, b long").distinct(), "links", own)
+    links = settled(full.mapInArrow(released(_exact(width, percent)), "a long, b long").distinct(), "links", own)
+    drop_tables(docs.sparkSession, used)
+    return links
 
 
 def _candidates(batch: pa.RecordBatch, scheme: Scheme, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -274,20 +277,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     own: list[str] = []
+    wide: list[str] = []                                    # tables with keys: dropped as soon as narrower ones are written
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scheme = Scheme(bands, rows, percent / 100)
-    sigs = settled(docs.mapInArrow(released(_signatures(width, scheme, percent, short)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima")
+    sigs = settled(docs.mapInArrow(released(_signatures(width, scheme, percent, short)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tiny binary"), "minima", wide)
     digest = ["n_shingles", "d1", "d2"]
+    digests = settled(sigs.select("doc_id", *digest), "digests")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = settled(full.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = settled(digests.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"r_{c}") for c in digest])
     core = full.join(reps, "doc_id").where("n_shingles = r_n_shingles and d1 = r_d1 and d2 = r_d2").select("doc_id", "bands", "tiny", F.col("n_shingles").alias("size"))
-    core = settled(core, "core", own)
+    keyed: list[str] = []
+    core = settled(core, "core", keyed)
+    drop_tables(spark, wide)
     members = core.select("doc_id", F.posexplode("bands").alias("place", "key"), (F.size("bands") - F.when(F.col("size") > short, bands).otherwise(0)).alias("prefix"))
     members = members.select("doc_id", "key", F.when(F.col("place") < F.col("prefix"), F.col("place")).otherwise(0).alias("place"))  # band keys have no place
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
-    buckets = settled(buckets.where("a <> z").drop("z"), "buckets", own)
-    inside = settled(members.join(buckets, "key").select("key", "doc_id", "place", "a", "n"), "inside", own)
+    buckets = settled(buckets.where("a <> z").drop("z"), "buckets", keyed)
+    inside = settled(members.join(buckets, "key").select("key", "doc_id", "place", "a", "n"), "inside", wide)
+    core = settled(core.select("doc_id", "size", "tiny"), "signatures", wide)
+    drop_tables(spark, keyed)
     pairs = inside.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = _verified(pairs, core, docs, width, percent, scheme, own)
     comps = connected_components(links.toDF("u", "v"), own)
@@ -303,6 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     order = ["key", "x", "y", F.col("block") != F.col("x"), "size"]
     rest = rest.repartition("key", "x", "y").sortWithinPartitions(*order)
     rest = settled(rest.mapInArrow(released(_open_members(scheme, percent)), rest.schema), "open", own)
+    drop_tables(spark, wide)
     sets = only_members(docs, rest.select("doc_id").distinct(), "doc_id").mapInArrow(released(_sets(width)), "doc_id long, own binary")
     more = rest.join(sets, "doc_id").repartition("key", "x", "y").sortWithinPartitions(*order)
     more = more.mapInArrow(released(_across(scheme, percent)), "a long, b long")
@@ -311,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     final = connected_components(found) if not more.isEmpty() else settled(comps, "components")
     drop_tables(spark, own)
 
-    out = sigs.select("doc_id", *digest).join(classes, digest, "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    out = digests.join(classes, digest, "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     owner = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", owner.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -63,6 +63,23 @@ def test_minhash_equals_all_pairs(spark, odd, width):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+def test_tables_with_keys_do_not_stay(spark):
+    """Behind the result only ids, digests, classes and components are left; it is still right when read again."""
+    from fleetpulse.session import shared_dir
+
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: {x.getPath().getName() for x in files.listStatus(where)} if files.exists(where) else set()
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text), (3, text + " more"), (4, "other words " + text.upper()), (5, " ".join(f"v{k}" for k in range(40))), (None, text), (6, None)]
+    before = names()
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert {x.split("-")[0] for x in names() - before} == {"digests", "classes", "components"}
+    want = {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (6, 6, True), (None, None, True)}
+    for _ in range(2):
+        assert {(r.doc_id, r.component_id, r.kept) for r in found.collect()} == want
+
+
 def test_minhash_odd_and_empty(odd, none):
     rows = near_duplicates(odd, 4).collect()
     assert len(rows) == odd.count()
