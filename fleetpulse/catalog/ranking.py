@@ -165,53 +165,54 @@ def waterfall(spark, sf_dir):
     return rounded(of_prediction(spark, sf_dir).select("event_id", F.inline(at.waterfall_of_row(F.col("entries"), F.col("base_value"), 5))))
 
 
-STEP, ROUNDS = 0.3, 3
+STEP, ROUNDS = 0.3, 60
+
+# a move's number, its change of every margin (moving feature j by v adds v·weight[c][j] to margin c) and of every feature
+MOVES = ("moves", "SELECT * FROM (VALUES " + ", ".join(
+    f"({2 * j + s}, " + ", ".join(f"{v * WEIGHTS[c][j]!r}::DOUBLE" for c in K) + ", " + ", ".join(f"{v if i == j else 0.0!r}::DOUBLE" for i in D) + ")"
+    for j in D for s, v in enumerate((-STEP, STEP))) + ") t(mv, " + ", ".join(f"w{c}" for c in K) + ", " + ", ".join(f"v{j}" for j in D) + ")")
 
 
 def _search_sql() -> tuple:
-    """Three unrolled rounds on margins: moving feature j by v adds v·weight[c][j] to margin c."""
-    ctes = [("s0", f"SELECT event_id, {', '.join(f'm{c}' for c in K)}, {', '.join(f'0e0 AS d{j}' for j in D)}, p{TARGET} AS pt, "
-             f"{_arg} AS cls, {_arg} AS orig, 0 AS steps, ({_arg}) <> {TARGET} AS active, ({_arg}) = {TARGET} AS success FROM lin")]
-    for r in range(1, ROUNDS + 1):
-        prev = f"s{r - 1}"
-        tries = " UNION ALL ".join(
-            "SELECT event_id, " + ", ".join(f"m{c} + ({v * WEIGHTS[c][j]!r}::DOUBLE) AS m{c}" for c in K) + ", "
-            + ", ".join(f"d{i} + ({v}e0) AS d{i}" if i == j else f"d{i}" for i in D)
-            + f", pt AS old, orig, {2 * j + s} AS mv FROM {prev} WHERE active"
-            for j in D for s, v in enumerate((-STEP, STEP)))
-        ctes += [
-            (f"t{r}", tries),
-            (f"u{r}", _softmax.format(src=f"t{r}")),
-            (f"b{r}", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p{TARGET} - old DESC, mv) AS rn "
-             f"FROM u{r}) q WHERE rn = 1"),
-            (f"s{r}", f"SELECT event_id, {', '.join(f'm{c}' for c in K)}, {', '.join(f'd{j}' for j in D)}, p{TARGET} AS pt, {_arg} AS cls, "
-             f"orig, CASE WHEN ({_arg}) = {TARGET} THEN {r} ELSE {ROUNDS} END AS steps, ({_arg}) <> {TARGET} AS active, "
-             f"({_arg}) = {TARGET} AS success FROM b{r} WHERE p{TARGET} > old "
-             f"UNION ALL SELECT event_id, {', '.join(f'm{c}' for c in K)}, {', '.join(f'd{j}' for j in D)}, pt, cls, orig, steps, active, "
-             f"success FROM {prev} WHERE NOT active"),
-        ]
-    return tuple(ctes)
-
-
-SEARCH = (*LIN, *_search_sql())
+    """One recursion step is a round on margins; a row's last state is the one that is no longer active or of the last round."""
+    margins, deltas = ", ".join(f"m{c}" for c in K), ", ".join(f"d{j}" for j in D)
+    tries = ("SELECT event_id, round_no, orig, cls AS was, pt AS old, mv, " + ", ".join(f"m{c} + w{c} AS m{c}" for c in K) + ", "
+             + ", ".join(f"d{j} + v{j} AS d{j}" for j in D) + ", " + ", ".join(f"m{c} AS a{c}" for c in K) + ", "
+             + ", ".join(f"d{j} AS b{j}" for j in D) + f" FROM walk CROSS JOIN moves WHERE active AND round_no < {ROUNDS}")
+    best = (f"SELECT *, p{TARGET} AS new, {_arg} AS found, row_number() OVER (PARTITION BY event_id ORDER BY p{TARGET} - old DESC, mv) AS rn "
+            f"FROM ({_softmax.format(src=f'({tries}) t')}) u")
+    kept = lambda now, before: f"CASE WHEN new > old THEN {now} ELSE {before} END"
+    walk = (f"SELECT event_id, 0 AS round_no, {margins}, {', '.join(f'0e0 AS d{j}' for j in D)}, p{TARGET} AS pt, {_arg} AS cls, {_arg} AS orig, "
+            f"0 AS steps, ({_arg}) <> {TARGET} AS active, ({_arg}) = {TARGET} AS success FROM lin UNION ALL SELECT event_id, round_no + 1, "
+            + ", ".join(kept(f"m{c}", f"a{c}") for c in K) + ", " + ", ".join(kept(f"d{j}", f"b{j}") for j in D)
+            + f", {kept('new', 'old')}, {kept('found', 'was')}, orig, CASE WHEN new > old AND found = {TARGET} THEN round_no + 1 ELSE {ROUNDS} END, "
+            f"new > old AND found <> {TARGET}, new > old AND found = {TARGET} FROM ({best}) b WHERE rn = 1")
+    return (("walk", walk), ("searched", f"SELECT event_id, {deltas}, pt, cls, orig, steps, success FROM walk WHERE NOT active OR round_no = {ROUNDS}"))
+
+
+SEARCH = (*LIN, MOVES, *_search_sql())
+
+
+def _recursive(*ctes, select: str) -> str:
+    return with_(*ctes, select=select).replace("WITH", "WITH RECURSIVE", 1)
 
 
 def search(spark, sf_dir):
-    return counterfactual(features_z(spark, sf_dir), MODEL.probabilities, FEATURES, len(CLASSES), TARGET, "event_id",
+    return counterfactual(features_z(spark, sf_dir), MODEL, FEATURES, len(CLASSES), TARGET, "event_id",
                           step=STEP, max_steps=ROUNDS)
 
 
-@query("counterfactual", with_(*SEARCH, select="SELECT event_id, success, steps, orig AS original_class, cls AS final_class, "
-       + r6("pt", "target_probability") + ", " + ", ".join(r6(f"d{j}", f"d_{f}") for j, f in enumerate(FEATURES)) + f" FROM s{ROUNDS}"))
+@query("counterfactual", _recursive(*SEARCH, select="SELECT event_id, success, steps, orig AS original_class, cls AS final_class, "
+       + r6("pt", "target_probability") + ", " + ", ".join(r6(f"d{j}", f"d_{f}") for j, f in enumerate(FEATURES)) + " FROM searched"))
 def counterfactual_query(spark, sf_dir):
     out = search(spark, sf_dir)
     return rounded(out.withColumn("target_probability", F.col("probs")[TARGET]).drop("probs"))
 
 
-_LONGD = " UNION ALL ".join(f"SELECT event_id, '{f}' AS feature, d{j} AS delta FROM s{ROUNDS}" for j, f in enumerate(FEATURES))
+_LONGD = " UNION ALL ".join(f"SELECT event_id, '{f}' AS feature, d{j} AS delta FROM searched" for j, f in enumerate(FEATURES))
 
 
-@query("top_impacted", with_(*SEARCH, ("longd", _LONGD), select="SELECT event_id, CAST(rank AS INTEGER) AS rank, feature, " + r6("delta", "delta")
+@query("top_impacted", _recursive(*SEARCH, ("longd", _LONGD), select="SELECT event_id, CAST(rank AS INTEGER) AS rank, feature, " + r6("delta", "delta")
        + " FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(delta), 9) DESC, feature) AS rank FROM longd "
        "WHERE abs(delta) > 1e-6) t WHERE rank <= 12"))
 def top_impacted_query(spark, sf_dir):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ class LinearModel:
         """The expression is built once a session: a search that scores many moves would spend its time building it."""
         return df.withColumn(name, _softmax(self, df.sparkSession))
 
+    def proba(self, columns: Mapping[str, np.ndarray]) -> np.ndarray:
+        """The same (class, row) for the columns of a batch: every row by itself, summed in the same order."""
+        margins = np.empty((len(self.classes), len(columns[self.features[0]])))
+        for c, weights in enumerate(self.weights):
+            margins[c] = self.intercepts[c]
+            for name, w in zip(self.features, weights):
+                margins[c] += w * columns[name]
+        exps = np.exp(margins - margins.max(axis=0))
+        return exps / exps.sum(axis=0)
+
 
 @lru_cache(maxsize=4)
 def _softmax(model: LinearModel, spark: SparkSession) -> Column:
