@@ -50,3 +50,15 @@ def test_same_trees_however_split(table):
         for ta, tb in zip(ra, rb):
             assert (ta.feature == tb.feature).all() and (ta.threshold == tb.threshold).all()
             assert np.allclose(ta.value, tb.value)
+
+
+def test_splits_summed_by_node_are_the_drivers(table, monkeypatch):
+    """Large histograms are summed by Spark and split in the tasks: the same trees, over refreshes too."""
+    from fleetpulse.operators import boosting
+    fit = lambda: SoftmaxBoost(maxIter=4, stepSize=0.2, maxDepth=3, refresh=2, weightCol="weight").fit(table.repartition(3))
+    a = fit()
+    monkeypatch.setattr(boosting, "AT_ONCE", 0)
+    b = fit()
+    assert all(np.array_equal(e, f) for e, f in zip(a.edges, b.edges))
+    for ta, tb in zip(sum(a.trees, []), sum(b.trees, [])):
+        assert (ta.feature == tb.feature).all() and (ta.threshold == tb.threshold).all() and np.allclose(ta.value, tb.value)

@@ -19,7 +19,9 @@ def handed(spark, monkeypatch):
     return seen
 
 
-def test_logistic_runs_its_defaults(spark, handed):
+def test_boosted_and_logistic_run_their_defaults(spark, handed):
+    QUERIES["train_boosted_small_rate"](spark, "")
     QUERIES["train_logistic"](spark, "")
-    assert handed == {"Logistic Regression": {}}
-    assert md.build_model("Logistic Regression").make(0.1).getMaxIter() == 2000
+    assert handed == {"LightGBM": {}, "Logistic Regression": {}}
+    boost, logistic = md.build_model("LightGBM"), md.build_model("Logistic Regression").make(0.1)
+    assert (boost.rounds, boost.rate, logistic.getMaxIter()) == (300, 0.05, 2000)
